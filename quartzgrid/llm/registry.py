@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from quartzgrid.catalog import Catalog, table
-from quartzgrid.llm import packing, token_counts
+from quartzgrid.llm import packing, quality_classifier, simhash, token_counts
 
 CATALOG = Catalog()
 
@@ -20,3 +20,15 @@ def op1_packing(spark, sf_dir):
 def op8_token_counts(spark, sf_dir):
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@CATALOG.query("op2_quality_classifier")
+def op2_quality_classifier(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    machine = quality_classifier.train(documents, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(documents, machine).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@CATALOG.query("op10_simhash")
+def op10_simhash(spark, sf_dir):
+    return simhash.classes(table(spark, sf_dir, "documents"))
