@@ -39,16 +39,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class WordTable(dict):
-    """Word -> value, filled on demand and emptied when it holds too many entries, so that memory stays bounded."""
+    """Word -> value, filled on demand. Two generations of at most `most` entries bound its memory: when the young one is
+    full it becomes the old one, from which words still in use come back.
+    """
 
-    def __init__(self, make: Callable[[bytes], object], most: int = 400_000) -> None:
+    def __init__(self, make: Callable[[bytes], object], most: int = 500_000) -> None:
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word: bytes):
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self.make(word)
         if len(word) <= 64:
             self[word] = value
         return value

@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzgrid.llm.common import WordTable, text_of, words_of
-from quartzgrid.llm.token_counts import load_tokenizer
+from quartzgrid.llm.common import WordTable, text_of
+from quartzgrid.llm.token_counts import byte_chars, load_tokenizer
 
 #: Penalties, in tokens of padding: for the sequence itself, for a cut at a sentence's end, for one inside a sentence.
 SEQUENCE, SENTENCE, FORCED = 1, 6, 48
@@ -56,19 +56,22 @@ def best_cuts(positions: np.ndarray, penalties: np.ndarray, length: int) -> list
     Gaps between positions are at most `length`. penalties[j] is the cost of a cut at positions[j].
     """
     at, cost = positions.tolist(), penalties.tolist()
-    index = {p: k for k, p in enumerate(at)}
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k <= length]
+    exact: dict[int, list[int]] = {}  # starts of the sequences of a power of two that end at a boundary
+    for power in (1 << k for k in range(length.bit_length()) if 1 << k <= length):
+        k = np.minimum(np.searchsorted(positions, positions - power), len(positions) - 1)
+        hits = np.flatnonzero(positions[k] == positions - power)
+        for j, start in zip(hits.tolist(), k[hits].tolist()):
+            exact.setdefault(j, []).append(start)
     f, back = [0.0] * len(at), [0] * len(at)
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # f(i) + at[i], ascending from the front
     for j in range(1, len(at)):
         here = at[j]
         while at[queue[0][1]] < here - length:
             queue.popleft()
-        value, i = queue[0]
-        best, start = value + length - here, i
-        for power in powers:
-            k = index.get(here - power)
-            if k is not None and f[k] < best:
+        value, start = queue[0]
+        best = value + length - here
+        for k in exact.get(j, ()):
+            if f[k] < best:
                 best, start = f[k], k
         f[j], back[j] = best + cost[j] + SEQUENCE, start
         value = f[j] + here
@@ -92,31 +95,48 @@ def in_powers(start: int, end: int) -> list[int]:
 
 
 class _Tokens:
-    """Ids of words as bytes, and which words end a sentence."""
+    """Ids of words as bytes; after a word that ends a sentence a mark follows that is no id."""
+
+    MARK = 0xFFFFFFFF
 
     def __init__(self, path: str) -> None:
-        tokenizer = load_tokenizer(path)
-        self.ids = WordTable(lambda w: np.array(tokenizer.encode(w.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes())
-        self.ends = WordTable(lambda w: w.endswith(SENTENCE_ENDS))
+        self.tokenizer = load_tokenizer(path)
+        self.model, self.chars = self.tokenizer.model, byte_chars()
+        self.ids = WordTable(self._ids)
+
+    def _ids(self, word: bytes) -> bytes:
+        """Plain words, alone or before one mark of punctuation, need only the vocabulary's merges; others the whole tokenizer."""
+        stem, point = (word[:-1], word[-1:]) if word[-1:] in (b".", b",") else (word, b"")
+        if stem.isalpha():
+            out = np.array([x.id for x in self.model.tokenize(stem.lower().decode())], "<u4").tobytes()
+            out += self.ids[point][:4] if point else b""
+        else:
+            out = np.array(self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
+        return out + b"\xff\xff\xff\xff" if word.endswith(SENTENCE_ENDS) else out
 
     def of(self, text: str, end_id: int) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The ids, the token offsets of its boundaries (its end is the last) and their penalties."""
-        words = words_of(text)
-        parts = list(map(self.ids.__getitem__, words))
-        stops = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)
-        n = (int(stops[-1]) if len(stops) else 0) + 1
-        own = stops[np.fromiter(map(self.ends.__getitem__, words), bool, len(words))]
-        own = np.unique(np.append(own[(own > 0) & (own < n - 1)], n))
+        marked = np.frombuffer(b"".join(map(self.ids.__getitem__, lowered_words(text))), "<u4")
+        stop = marked == self.MARK
+        own = np.flatnonzero(stop)
+        own -= np.arange(len(own))
+        n = len(marked) - len(own) + 1
+        own = np.append(own[(own > 0) & (own < n - 1)], n)
         gaps = np.diff(own, prepend=0)
-        if gaps.max() <= LONGEST:
-            at, forced = own, np.zeros(len(own), bool)
-        else:
-            more = [np.arange(e - g + LONGEST, e, LONGEST) for e, g in zip(own[gaps > LONGEST], gaps[gaps > LONGEST])]
-            at = np.union1d(own, np.concatenate(more))
-            forced = ~np.isin(at, own)
-        penalties = np.where(forced, float(FORCED), float(SENTENCE))
+        own, gaps = own[gaps > 0], gaps[gaps > 0]
+        penalties = np.full(len(own), float(SENTENCE))
+        if gaps.max() > LONGEST:
+            more = np.concatenate([np.arange(e - g + LONGEST, e, LONGEST) for e, g in zip(own[gaps > LONGEST], gaps[gaps > LONGEST])])
+            at = np.concatenate([own, more])
+            order = np.argsort(at, kind="stable")
+            own, penalties = at[order], np.append(penalties, np.full(len(more), float(FORCED)))[order]
         penalties[-1] = 0.0
-        return b"".join(parts) + end_id.to_bytes(4, "little"), at, penalties
+        return marked[~stop].tobytes() + end_id.to_bytes(4, "little"), own, penalties
+
+
+def lowered_words(text: str) -> list[bytes]:
+    """The tokenizer lower-cases anyway; ASCII letters are lowered first, so that fewer words are distinct."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def _packer(path: str, end_id: int, length: int, with_ids: bool):

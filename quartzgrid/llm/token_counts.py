@@ -14,22 +14,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzgrid.llm.common import text_of
 
-#: Documents of a block: at most what twelve bits hold. Texts of a block: it ends once it holds so many characters.
-BLOCK_DOCUMENTS = 4096
-BLOCK_CHARS = 16_000_000
-#: A frequency has twenty bits; a larger one is written as several.
-MOST = (1 << 20) - 1
-#: The pre-token rule of the byte-level vocabularies (a fixed value).
-BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters on which this rule and the library's own regular expressions agree whatever their Unicode versions are.
-UNUSUAL = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ‐-‧€]")
+#: Documents of a block: at most what thirteen bits hold. Texts of a block: it ends once it holds so many characters.
+BLOCK_DOCUMENTS = 8192
+BLOCK_CHARS = 30_000_000
+#: A frequency has nineteen bits; a larger one is written as several.
+MOST = (1 << 19) - 1
+#: Letters for which this rule can be written without Unicode properties. Texts with other characters than these and
+#: ASCII (control characters apart) take the library's own pre-tokenizer, so no Unicode version comes in.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+UNUSUAL = re.compile(f"[^\t-\r\x20-\x7e{LETTERS}]")
+#: The byte-level pre-token rule over those characters.
+PRETOKEN = re.compile(f" ?[{LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\\s{LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
 
 _POSTINGS = "pretoken string, block long, postings binary"
 _SUMS = "block long, at int, id long, n_bytes long, n_tokens long"
@@ -42,6 +43,13 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def byte_chars() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 ones for themselves, the rest from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 def count_tokens(documents: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of `documents`: id, n_bytes (UTF-8) and n_tokens.
 
@@ -62,13 +70,11 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, id_column: str = "do
 def pretokens(tokenizer) -> Callable[[str], list[str]]:
     """The pre-tokens of a text, the library's special strings among them."""
     specials = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-    around = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
-    rule = regex.compile(BYTE_LEVEL).findall
-
+    around = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
     def plain(text: str) -> list[str]:
         if UNUSUAL.search(text):
             return [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-        return rule(text)
+        return PRETOKEN.findall(text)
 
     def split(text: str) -> list[str]:
         if around is None or not any(s in text for s in specials):
@@ -100,7 +106,7 @@ class _Block:
         codes, n = np.unique(np.fromiter(map(self.codes.__getitem__, tokens), np.int32, len(tokens)), return_counts=True)
         while len(codes):
             self.code_parts.append(codes)
-            self.entry_parts.append((np.minimum(n, MOST) << 12 | at).astype(np.uint32))
+            self.entry_parts.append((np.minimum(n, MOST) << 13 | at).astype(np.uint32))
             codes, n = codes[n > MOST], n[n > MOST] - MOST
 
     @property
@@ -145,11 +151,13 @@ def _block_frequencies(path: str):
 def _piece_counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(path)
+        specials = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        chars, cut_up = byte_chars(), tokenizer.model.tokenize
         last: tuple[str | None, int] = (None, 0)
         for batch in batches:
             names = batch["pretoken"].to_pylist()
             new = [x for x in dict.fromkeys(names) if x is not None and x != last[0]]
-            pieces = dict(zip(new, (len(e.ids) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)))) | dict([last])
+            pieces = {x: 1 if x in specials else len(cut_up(x.encode("utf-8", "surrogatepass").decode("latin1").translate(chars))) for x in new} | dict([last])
             last = (names[-1], pieces[names[-1]]) if names and names[-1] is not None else last
             blocks = batch["block"].to_numpy(zero_copy_only=False)
             yield from _summed(names, pieces, blocks, batch["postings"])
@@ -173,12 +181,12 @@ def _summed(names: list[str | None], pieces: dict, blocks: np.ndarray, postings:
     if data:
         lengths = [len(x) for x in data]
         entries = np.concatenate(data).astype(np.int64)
-        keys = np.repeat(np.array(which, np.int64), lengths) << 12 | entries & 4095
+        keys = np.repeat(np.array(which, np.int64), lengths) << 13 | entries & 8191
         order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], ((entries >> 12) * np.repeat(np.array(weights, np.int64), lengths))[order]
+        keys, n = keys[order], ((entries >> 13) * np.repeat(np.array(weights, np.int64), lengths))[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys = keys[first]
-        yield _sums(keys >> 12, keys & 4095, pa.nulls(len(keys), pa.int64()), None, np.add.reduceat(n, first))
+        yield _sums(keys >> 13, keys & 8191, pa.nulls(len(keys), pa.int64()), None, np.add.reduceat(n, first))
 
 
 def _sums(block: np.ndarray, at: np.ndarray, ids: pa.Array, n_bytes: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
