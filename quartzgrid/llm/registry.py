@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from quartzgrid.catalog import Catalog, table
-from quartzgrid.llm import packing, quality_classifier, simhash, token_counts
+from quartzgrid.llm import decontamination, line_dedup, neighbours, packing, quality_classifier, secret_scan, simhash, substring_dedup, token_counts
 
 CATALOG = Catalog()
 
@@ -32,3 +32,37 @@ def op2_quality_classifier(spark, sf_dir):
 @CATALOG.query("op10_simhash")
 def op10_simhash(spark, sf_dir):
     return simhash.classes(table(spark, sf_dir, "documents"))
+
+
+@CATALOG.query("op3_neighbours")
+def op3_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@CATALOG.query("op4_substring_dedup")
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup_passages(table(spark, sf_dir, "documents"))
+
+
+def _of_kind(kind: str):
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
+@CATALOG.query("op7_secret_scan")
+def op7_secret_scan(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(documents, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+    live = F.size(F.filter("base", lambda s: s["live"])).cast("long")
+    return found.select("doc_id", *(_of_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"), live.alias("n_live"))
+
+
+@CATALOG.query("op5_line_dedup")
+def op5_line_dedup(spark, sf_dir):
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@CATALOG.query("op6_decontamination")
+def op6_decontamination(spark, sf_dir):
+    leaks = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select(F.col("id").alias("doc_id"), "item_id", "start", "n_words", "similarity")
