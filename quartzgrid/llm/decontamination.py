@@ -67,8 +67,9 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _small_side(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    same = docs["id"].eqNullSafe(chosen["id"]) & (docs["version"] == chosen["version"])
-    return docs.join(_small(chosen), same).select(chosen["id"], chosen["version"], "item", "starts", "words")
+    texts = docs.select(F.col("id").alias("__id"), F.col("version").alias("__version"), "words")
+    same = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__version") == F.col("version"))
+    return texts.join(_small(chosen), same).drop("__id", "__version")
 
 
 def _words(text: Column) -> Column:
@@ -124,7 +125,8 @@ def _within(windows: DataFrame, items: DataFrame, radius: int) -> DataFrame:
     index = items.select("item", F.explode(_block_values(F.col("fingerprint"), radius)).alias("key"))
     windows = cut(windows)
     candidates = windows.select("id", "version", "item", "start", F.explode(_block_values(F.col("own"), radius)).alias("key")).join(_small(index), ["item", "key"]).select("id", "version", "item", "start").distinct()
-    same = windows["id"].eqNullSafe(candidates["id"]) & (windows["version"] == candidates["version"]) & (windows["item"] == candidates["item"]) & (windows["start"] == candidates["start"])
+    candidates = candidates.toDF("__id", "__version", "__item", "__start")
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__version")) & (F.col("item") == F.col("__item")) & (F.col("start") == F.col("__start"))
     return windows.join(candidates, same, "left_semi").where(F.bit_count(F.col("own").bitwiseXOR(F.col("fingerprint"))) <= radius)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from quartzgrid.catalog import Catalog, table
-from quartzgrid.llm import decontamination, line_dedup, neighbours, packing, quality_classifier, secret_scan, simhash, substring_dedup, token_counts
+from quartzgrid.llm import decontamination, line_dedup, neighbours, packing, quality_classifier, secret_scan, sharding, simhash, substring_dedup, token_counts
+from quartzgrid.llm.common import shared_folder
 
 CATALOG = Catalog()
 
@@ -66,3 +69,16 @@ def op5_line_dedup(spark, sf_dir):
 def op6_decontamination(spark, sf_dir):
     leaks = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.select(F.col("id").alias("doc_id"), "item_id", "start", "n_words", "similarity")
+
+
+_SHARDED = "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents"
+
+
+@CATALOG.query("op9_sharding", _SHARDED)
+def op9_sharding(spark, sf_dir):
+    store = sharding.ShardStore(spark, f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}")
+    store.drop_at_exit()
+    store.append(table(spark, sf_dir, "documents"), sharding.arrivals(F.col("doc_id")))
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
