@@ -9,6 +9,7 @@ number of boundaries.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzgrid.llm.common import WordTable, text_of
-from quartzgrid.llm.token_counts import byte_chars, load_tokenizer
+from quartzgrid.llm.token_counts import LETTERS, UNUSUAL, byte_chars, load_tokenizer
 
 #: Penalties, in tokens of padding: for the sequence itself, for a cut at a sentence's end, for one inside a sentence.
 SEQUENCE, SENTENCE, FORCED = 1, 6, 48
@@ -94,6 +95,14 @@ def in_powers(start: int, end: int) -> list[int]:
     return ends
 
 
+#: Parts into which the tokenizer cuts a word of these characters: letters, single digits, runs of anything else.
+PART = re.compile(f"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+#: Words that hold others, or an apostrophe (contractions are parts of their own), take the whole tokenizer.
+OTHER = re.compile(f"[^\x21-\x26\x28-\x7e{LETTERS}]|İ")
+#: Two marks side by side are one part; only where there are none can points and commas be set apart beforehand.
+SIDE_BY_SIDE = re.compile(rb"[^\sa-z0-9\x80-\xff]{2}|'")
+
+
 class _Tokens:
     """Ids of words as bytes; after a word that ends a sentence a mark follows that is no id."""
 
@@ -102,18 +111,26 @@ class _Tokens:
     def __init__(self, path: str) -> None:
         self.tokenizer = load_tokenizer(path)
         self.model, self.chars = self.tokenizer.model, byte_chars()
-        self.ids = WordTable(self._ids)
+        self.ids = WordTable(self._ids, 800_000)
 
     def _ids(self, word: bytes) -> bytes:
-        """Plain words, alone or before one mark of punctuation, need only the vocabulary's merges; others the whole tokenizer."""
-        stem, point = (word[:-1], word[-1:]) if word[-1:] in (b".", b",") else (word, b"")
-        if stem.isalpha():
-            out = np.array([x.id for x in self.model.tokenize(stem.lower().decode())], "<u4").tobytes()
-            out += self.ids[point][:4] if point else b""
+        text = word.decode("utf-8", "surrogatepass")
+        if OTHER.search(text):
+            out = self._encoded(text)
         else:
-            out = np.array(self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
+            parts = PART.findall(text)
+            out = b"".join(map(self._part, parts)) if len(parts) == 1 else b"".join(self.ids[p.encode()].removesuffix(b"\xff\xff\xff\xff") for p in parts)
         return out + b"\xff\xff\xff\xff" if word.endswith(SENTENCE_ENDS) else out
 
+    def _part(self, text: str) -> bytes:
+        """Letters need only the vocabulary's merges."""
+        if not text.isalpha():
+            return self._encoded(text)
+        return np.array([x.id for x in self.model.tokenize(text.lower().encode().decode("latin1").translate(self.chars))], "<u4").tobytes()
+
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def of(self, text: str, end_id: int) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The ids, the token offsets of its boundaries (its end is the last) and their penalties."""
         marked = np.frombuffer(b"".join(map(self.ids.__getitem__, lowered_words(text))), "<u4")
@@ -135,8 +152,15 @@ class _Tokens:
 
 
 def lowered_words(text: str) -> list[bytes]:
-    """The tokenizer lower-cases anyway; ASCII letters are lowered first, so that fewer words are distinct."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+    """Words between ASCII white space, and points and commas apart from them where that changes no token.
+
+    The tokenizer lower-cases anyway; ASCII letters are lowered first, so that fewer words are distinct.
+    """
+    data = text.encode("utf-8", "surrogatepass").lower()
+    if text.isascii() or not UNUSUAL.search(text):
+        if not SIDE_BY_SIDE.search(data):
+            data = data.replace(b".", b" . ").replace(b",", b" , ")
+    return data.split()
 
 
 def _packer(path: str, end_id: int, length: int, with_ids: bool):
