@@ -2,17 +2,8 @@
 
 from __future__ import annotations
 
-from quartzgrid.catalog import Catalog, merged, table
+from quartzgrid.catalog import merged
+from quartzgrid.plans import grids, retrieval, versions
 
-_BASE = Catalog()
-FLAGSHIP = "region_counts"
-
-
-@_BASE.query(FLAGSHIP, "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
-def region_counts(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-
-
-CATALOG = merged(_BASE)
+FLAGSHIP = "lex_match_topk"
+CATALOG = merged(retrieval.CATALOG, grids.CATALOG, versions.CATALOG)
