@@ -97,8 +97,8 @@ def in_powers(start: int, end: int) -> list[int]:
 
 #: Parts into which the tokenizer cuts a word of these characters: letters, single digits, runs of anything else.
 PART = re.compile(f"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
-#: Words that hold others, or an apostrophe (contractions are parts of their own), take the whole tokenizer.
-OTHER = re.compile(f"[^\x21-\x26\x28-\x7e{LETTERS}]|İ")
+#: Words that hold others, an apostrophe (contractions are parts of their own) or a special string take the whole tokenizer.
+OTHER = re.compile(f"[^\x21-\x26\x28-\x7e{LETTERS}]|İ|<[|]")
 #: Two marks side by side are one part; only where there are none can points and commas be set apart beforehand.
 SIDE_BY_SIDE = re.compile(rb"[^\sa-z0-9\x80-\xff]{2}|'")
 
@@ -131,7 +131,7 @@ class _Tokens:
     def _encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def of(self, text: str, end_id: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    def of(self, text: str, end_id: int, longest: int = LONGEST) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The ids, the token offsets of its boundaries (its end is the last) and their penalties."""
         marked = np.frombuffer(b"".join(map(self.ids.__getitem__, lowered_words(text))), "<u4")
         stop = marked == self.MARK
@@ -142,8 +142,8 @@ class _Tokens:
         gaps = np.diff(own, prepend=0)
         own, gaps = own[gaps > 0], gaps[gaps > 0]
         penalties = np.full(len(own), float(SENTENCE))
-        if gaps.max() > LONGEST:
-            more = np.concatenate([np.arange(e - g + LONGEST, e, LONGEST) for e, g in zip(own[gaps > LONGEST], gaps[gaps > LONGEST])])
+        if gaps.max() > longest:
+            more = np.concatenate([np.arange(e - g + longest, e, longest) for e, g in zip(own[gaps > longest], gaps[gaps > longest])])
             at = np.concatenate([own, more])
             order = np.argsort(at, kind="stable")
             own, penalties = at[order], np.append(penalties, np.full(len(more), float(FORCED)))[order]
@@ -154,9 +154,13 @@ class _Tokens:
 def lowered_words(text: str) -> list[bytes]:
     """Words between ASCII white space, and points and commas apart from them where that changes no token.
 
-    The tokenizer lower-cases anyway; ASCII letters are lowered first, so that fewer words are distinct.
+    The tokenizer lower-cases anyway; ASCII letters are lowered first, so that fewer words are distinct. Not where a
+    special string may be: those are told apart by case.
     """
-    data = text.encode("utf-8", "surrogatepass").lower()
+    data = text.encode("utf-8", "surrogatepass")
+    if b"<|" in data:
+        return data.split()
+    data = data.lower()
     if text.isascii() or not UNUSUAL.search(text):
         if not SIDE_BY_SIDE.search(data):
             data = data.replace(b".", b" . ").replace(b",", b" , ")
@@ -169,7 +173,7 @@ def _packer(path: str, end_id: int, length: int, with_ids: bool):
         packing = _Run(length, with_ids, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for i, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                packing.add(i, *tokens.of(text, end_id))
+                packing.add(i, *tokens.of(text, end_id, min(LONGEST, length)))
                 if packing.size >= RUN_TOKENS:
                     yield from packing.flush(last=False)
         yield from packing.flush(last=True)
