@@ -43,9 +43,9 @@ def _order_spans(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(_day("o_orderdate")).alias("row_lo"), F.max(_day("o_orderdate")).alias("row_hi"), F.min("o_orderkey").alias("col_lo"), F.max("o_orderkey").alias("col_hi"))
 
 
-@CATALOG.query("range_intersect", f"SELECT * FROM ({_ORDER_SPANS}) WHERE row_lo <= 9000 AND row_hi >= 8900 AND col_lo <= 900 AND col_hi >= 100 ORDER BY o_custkey LIMIT 500")
+@CATALOG.query("range_intersect", f"SELECT * FROM ({_ORDER_SPANS}) WHERE row_lo <= 9300 AND row_hi >= 9200 AND col_lo <= 900 AND col_hi >= 100 ORDER BY o_custkey LIMIT 500")
 def range_intersect(spark, sf_dir):
-    return spatial.range_query(_order_spans(spark, sf_dir), F.lit(True), 8900, 9000, 100, 900).orderBy("o_custkey").limit(500)
+    return spatial.range_query(_order_spans(spark, sf_dir), F.lit(True), 9200, 9300, 100, 900).orderBy("o_custkey").limit(500)
 
 
 _ITEM_SPANS = "SELECT l_orderkey, CAST(epoch(l_shipdate) // 86400 AS BIGINT) AS lo, CAST(epoch(l_shipdate) // 86400 AS BIGINT) + CAST(floor(l_quantity) AS BIGINT) AS hi FROM lineitem"
