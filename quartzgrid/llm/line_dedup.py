@@ -49,15 +49,14 @@ def removed_lines(documents: DataFrame, min_words: int, id_column: str, text_col
     """(id, version, line) of the lines to remove, lines numbered from 0."""
     docs = documents.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), text_of(F.col(text_column)).alias("text"))
     docs = docs.select("id", F.xxhash64("text").alias("version"), "text")
-    hashed = _lines(docs).select("id", "version", "line", *_hashes(F.col("words")), *_halves(F.col("words"), min_words))
+    hashed = cut(_lines(docs).select("id", "version", "line", *_hashes(F.col("words"), min_words)))
     place = F.struct("id", "line", "version")
     distinct = cut(hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("halves").alias("halves")))
     near = near_copies(docs, distinct, min_words)
     # Each occurrence but the first of its words goes, and the first too if it is a near copy of an earlier line.
     firsts = distinct.select("h1", "h2", "first").join(near, "first", "left").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    occurrences = _lines(docs).select("id", "version", "line", *_hashes(F.col("words")))
     later = (F.col("id") > F.col("first.id")) | ((F.col("id") == F.col("first.id")) & (F.col("line") > F.col("first.line")))
-    return occurrences.join(firsts, ["h1", "h2"]).where(later | F.col("near")).select("id", "version", "line")
+    return hashed.select("id", "version", "line", "h1", "h2").join(firsts, ["h1", "h2"]).where(later | F.col("near")).select("id", "version", "line")
 
 
 def near_copies(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
@@ -71,7 +70,7 @@ def near_copies(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFra
     chosen = docs.join(by_document, ["id", "version"]).select("id", "version", F.explode("chosen").alias("line"), lines.alias("lines"))
     chosen = chosen.select(F.struct("id", "line", "version").alias("first"), _words(F.get("lines", "line")).alias("words")).dropDuplicates(["first"])
     chosen = cut(chosen)
-    keyed = chosen.select("first", F.explode(_variants(F.col("words"))).alias("variant")).select("first", "variant.*")
+    keyed = cut(chosen.select("first", F.explode(_variants(F.col("words"))).alias("variant")).select("first", "variant.*"))
     replaced = keyed.where("place IS NOT NULL")
     earliest = replaced.groupBy("n", "place", "rest").agg(F.min("first").alias("partner"), F.count("*").alias("lines")).where("lines > 1")
     pairs = replaced.join(earliest, ["n", "place", "rest"]).where(F.col("first") > F.col("partner")).select("first", "partner")
@@ -92,54 +91,75 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, _SPACES, -1), lambda w: w != "")
+    """Of a line without words, one empty word."""
+    return F.split(F.btrim(line, F.lit(" \t\n\x0b\f\r")), _SPACES, -1)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     lines = docs.select("id", "version", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    return lines.select("id", "version", "line", _words(F.col("content")).alias("words")).where(F.size("words") > 0)
+    return lines.select("id", "version", "line", _words(F.col("content")).alias("words")).where("words[0] <> ''")
 
 
-def _hashes(words: Column) -> list[Column]:
-    return [F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(1), words, F.size(words)).alias("h2")]
+def _hashes(words: Column, min_words: int) -> list[Column]:
+    """h1 and h2, the hashes of the two halves, which name the words; and the keys of the halves.
 
-
-def _halves(words: Column, min_words: int) -> list[Column]:
-    """Keys of the first and the second half as one of n words, and as one of n - 1 words with one more."""
+    As one of n words the first half has floor(n / 2) of them, the second the rest. As one that holds one word more than
+    a line of n - 1, its halves are those of n - 1 words from the front and from the back: one of the two is as before.
+    """
     n = F.size(words)
-
-    def keys(base: Column) -> list[Column]:
-        q = F.floor(base / 2).cast("int")
-        return [F.xxhash64(F.lit(0), base, F.slice(words, F.lit(1), q)), F.xxhash64(F.lit(1), base, F.slice(words, n - (base - q) + 1, base - q))]
-
-    return [F.when(n >= min_words, F.array_distinct(F.array(*keys(n), *keys(n - 1)))).alias("halves")]
+    q = F.floor(n / 2).cast("int")
+    even = n % 2 == 0
+    first, second = F.xxhash64(F.slice(words, F.lit(1), q), n), F.xxhash64(F.slice(words, q + 1, n - q), -n)
+    plain = lambda side, base, part: F.xxhash64(F.lit(side), base, part)
+    front, back = F.xxhash64(F.slice(words, F.lit(1), q)), F.xxhash64(F.slice(words, q + 1, n - q))
+    other = F.xxhash64(F.when(even, F.slice(words, F.lit(1), q - 1)).otherwise(F.slice(words, q + 2, n - q - 1)))
+    longer = F.when(even, F.array(plain(0, n - 1, other), plain(1, n - 1, back))).otherwise(F.array(plain(0, n - 1, front), plain(1, n - 1, other)))
+    keys = F.when(n >= min_words, F.concat(F.array(plain(0, n, front), plain(1, n, back)), longer))
+    return [first.alias("h1"), second.alias("h2"), keys.alias("halves")]
 
 
 def _xor(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value) with the value computed once: a lambda over an array of one."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _variants(words: Column) -> Column:
     """array<struct<n, place, rest, whole>>: the line itself, without each word in its place, and closed up without each word."""
-    n = F.size(words)
-    here = F.transform(words, lambda w, j: F.xxhash64(w, j))
-    back = F.transform(words, lambda w, j: F.xxhash64(w, j - 1))
-    struct = "array<struct<n:int,place:int,rest:bigint,whole:boolean>>"
+    none, no, yes = F.lit(None).cast("int"), F.lit(False), F.lit(True)
+
+    def variant(size: Column, at: Column, rest: Column, whole: Column) -> Column:
+        return F.struct(size.cast("int").alias("n"), at.cast("int").alias("place"), rest.alias("rest"), whole.alias("whole"))
+
+    def hashed(words: Column) -> Column:
+        here, back = F.transform(words, lambda w, j: F.xxhash64(w, j)), F.transform(words, lambda w, j: F.xxhash64(w, j - 1))
+        return F.struct(here.alias("here"), back.alias("back"))
+
+    def summed(x: Column) -> Column:
+        change = F.zip_with(x["here"], x["back"], lambda a, b: a.bitwiseXOR(b))
+        return F.struct(x["here"].alias("here"), x["back"].alias("back"), change.alias("change"), _xor(x["here"]).alias("total"), _xor(x["back"]).alias("moved"))
+
+    def blocked(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x["here"]) - 1) / STEP).cast("int")), lambda k: _xor(F.slice(x["change"], k * STEP + 1, F.lit(STEP))))
+        return F.struct(x.alias("x"), blocks.alias("blocks"))
+
+    def running(y: Column) -> Column:
+        """Of the changes before each block."""
+        before = F.transform(y["blocks"], lambda _, k: _xor(F.slice(y["blocks"], F.lit(1), k)))
+        return F.struct(y["x"].alias("x"), before.alias("before"))
 
-    def built(here: Column, back: Column) -> Column:
-        change = F.zip_with(here, back, lambda a, b: a.bitwiseXOR(b))
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / STEP).cast("int")), lambda k: _xor(F.slice(change, k * STEP + 1, F.lit(STEP))))
+    def built(y: Column) -> Column:
+        x, size = y["x"], F.size(y["x"]["here"])
 
-        def closed(i: Column) -> Column:  # places before i stay, later ones move up by one
+        def closed(b: Column, i: Column) -> Column:  # places before i stay, later ones move up by one
             k = F.floor(i / STEP).cast("int")
-            before = _xor(F.slice(blocks, F.lit(1), k)).bitwiseXOR(_xor(F.slice(change, k * STEP + 1, i - k * STEP)))
-            return before
+            changed = y["before"][k].bitwiseXOR(_xor(F.slice(x["change"], k * STEP + 1, i - k * STEP)))
+            return variant(size - 1, none, x["moved"].bitwiseXOR(b).bitwiseXOR(changed), no)
 
-        total, moved = _xor(here), _xor(back)
-        own = F.array(F.struct(n.alias("n"), F.lit(None).cast("int").alias("place"), total.alias("rest"), F.lit(True).alias("whole")))
-        substituted = F.transform(here, lambda h, i: F.struct(n.alias("n"), i.alias("place"), total.bitwiseXOR(h).alias("rest"), F.lit(False).alias("whole")))
-        shorter = F.transform(back, lambda b, i: F.struct((n - 1).alias("n"), F.lit(None).cast("int").alias("place"), moved.bitwiseXOR(b).bitwiseXOR(closed(i)).alias("rest"), F.lit(False).alias("whole")))
-        return F.concat(own, substituted, F.array_distinct(shorter)).cast(struct)
+        replaced = F.transform(x["here"], lambda h, i: variant(size, i, x["total"].bitwiseXOR(h), no))
+        return F.concat(F.array(variant(size, none, x["total"], yes)), replaced, F.array_distinct(F.transform(x["back"], closed)))
 
-    # The hashes are computed once and bound by a lambda.
-    return F.flatten(F.transform(F.array(F.struct(here.alias("here"), back.alias("back"))), lambda x: built(x["here"], x["back"])))
+    return _bound(_bound(_bound(_bound(hashed(words), summed), blocked), running), built)
