@@ -85,6 +85,6 @@ def find_capped(df: DataFrame, needle: str, text: Column, order: str, cap: int =
     return found.orderBy(order).limit(cap).join(F.broadcast(total))
 
 
-def first_fitting(df: DataFrame, sizes: list[tuple[int, Column]], budget: int) -> Column:
+def first_fitting(sizes: list[tuple[int, Column]], budget: int) -> Column:
     """The first rung, in order, whose size is within the budget; null if none is."""
     return F.coalesce(*(F.when(size <= budget, F.lit(rung)) for rung, size in sizes))

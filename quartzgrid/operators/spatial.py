@@ -61,7 +61,7 @@ def parents(spans: DataFrame, regions: DataFrame, key: str, region_ix: str, widt
     return spans.select(key).join(first, key, "left").select(key, F.coalesce(F.col("parent"), default).alias("parent"))
 
 
-def label_before(df: DataFrame, partition: list[str], order: list[str], label: Column) -> Column:
+def label_before(partition: list[str], order: list[str], label: Column) -> Column:
     """The nearest non-null label before the row: to the left in a sheet's row, or above in its column."""
     frame = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return F.last(label, ignorenulls=True).over(frame)

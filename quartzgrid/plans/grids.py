@@ -186,7 +186,7 @@ def merge_cover(spark, sf_dir):
 
 @CATALOG.query("label_left_asof", "SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN props END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS label FROM events")
 def label_left_asof(spark, sf_dir):
-    label = spatial.label_before(None, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "click", F.col("props")))
+    label = spatial.label_before(["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "click", F.col("props")))
     return table(spark, sf_dir, "events").select("event_id", label.alias("label"))
 
 
@@ -205,7 +205,7 @@ def detail_ladder(spark, sf_dir):
     whole = F.length(F.coalesce("text", F.lit("")))
     size = lambda n: F.ceil(n / 3)
     sizes = [(0, size(whole)), (1, size(F.least(whole, F.lit(1500))) + 100), (2, size(F.least(whole, F.lit(600))))]
-    return table(spark, sf_dir, "documents").select("doc_id", profile.first_fitting(None, sizes, 500).alias("rung"))
+    return table(spark, sf_dir, "documents").select("doc_id", profile.first_fitting(sizes, 500).alias("rung"))
 
 
 @CATALOG.query("chunk_text", "SELECT p_partkey, p_name || chr(10) || 'Brand: ' || p_brand || '; type: ' || p_type || '; size ' || p_size AS chunk, CAST(ceil(length(p_name || chr(10) || 'Brand: ' || p_brand || '; type: ' || p_type || '; size ' || p_size) / 3.0) AS BIGINT) AS tokens, 'wb:v1:region:' || regexp_replace(lower(trim(p_name)), '[^a-z0-9_.!$:-]+', '_', 'g') AS node FROM part")

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quartzgrid.formulas import lexer
+
 MAX_PACKAGE, MAX_CSV, MAX_SHEET_CELLS = 512 << 20, 256 << 20, 5_000_000
 CELLS = "path string, sha256 string, sheet string, sheet_ix int, row int, col int, kind string, num double, str string, ts timestamp_ntz, formula string, number_format string, is_percentage boolean, is_currency boolean, merged_range string, array_range string, error string"
 #: Number formats that need no definition in a file and show dates (fixed values of the format).
@@ -155,7 +157,7 @@ def read_ooxml(data: bytes) -> Workbook:
         elif kind == "workbookPr":
             state["epoch"] = a.get("date1904") in ("1", "true")
         elif kind == "definedName":
-            state |= {"name": (int(a["localSheetId"]) if "localSheetId" in a else None, a.get("name", "")), "text": ""}
+            state.update({"name": (int(a["localSheetId"]) if "localSheetId" in a else None, a.get("name", "")), "text": ""})
 
     def end(tag: str) -> None:
         if local(tag) == "definedName" and state["name"]:
@@ -286,8 +288,6 @@ def _formula(raw: dict, shared: dict, row: int, col: int) -> str | None:
 
 def moved(formula: str, rows: int, cols: int) -> str:
     """The formula as filled from one cell to another: relative references follow."""
-    from quartzgrid.formulas import lexer
-
     def one(m: re.Match) -> str:
         r, c = position(m[2] + m[4])
         r, c = r if m[3] else r + rows, c if m[1] else c + cols
