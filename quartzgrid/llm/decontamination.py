@@ -39,14 +39,14 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, shingle_words: int =
     probes = items.select("item", F.col("size"), "n", F.explode(F.array_distinct("shingles")).alias("h"))
     hits = None
     for size in sizes:
-        positions = docs.where(F.size("words") >= size).select("id", "version", (F.size("words") - size + 1).alias("total"), F.posexplode(_shingles(F.col("words"), size)).alias("at", "h"))
+        positions = docs.select("id", "version", (F.size("words") - size + 1).alias("total"), F.posexplode(_shingles(F.col("words"), size)).alias("at", "h"))
         own = _small(probes.where(F.col("size") == size).drop("size"))
         found = positions.join(own, "h").groupBy("id", "version", "total", "item").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("at")).alias("hits"))
         hits = found if hits is None else hits.unionByName(found)
     needed = F.ceil((F.least("n", "total") + F.col("n")) * (min_similarity / (1 + min_similarity)) - 1e-9).cast("int")
     starts = hits.withColumn("needed", needed).where(F.size("hits") >= F.col("needed")).select("id", "version", "item", _starts().alias("starts")).where(F.size("starts") > 0)
     chosen = cut(starts)
-    windows = _small_side(docs, chosen).join(_small(items), "item")
+    windows = _small_side(documents, chosen, id_column, text_column).join(_small(items), "item")
     windows = windows.select("id", "version", "item", "item_id", "n_words", F.col("shingles"), F.explode("starts").alias("start"), _sized_shingles(shingle_words).alias("all"), "fingerprint")
     windows = windows.select("*", F.slice("all", F.col("start") + 1, F.size("shingles")).alias("window")).drop("all")
     near = _within(windows.withColumn("own", simhash(F.col("window"))), items, radius)
@@ -66,14 +66,16 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _small_side(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    texts = docs.select(F.col("id").alias("__id"), F.col("version").alias("__version"), "words")
+def _small_side(documents: DataFrame, chosen: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The chosen documents with their words, which are made after the join."""
+    texts = documents.select(F.col(id_column).cast("long").alias("__id"), F.xxhash64(text_of(F.col(text_column))).alias("__version"), F.col(text_column).alias("__text"))
     same = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__version") == F.col("version"))
-    return texts.join(_small(chosen), same).drop("__id", "__version")
+    return texts.join(_small(chosen), same).select("id", "version", "item", "starts", _words(F.col("__text")).alias("words"))
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text_of(text)), SPACE_CLASS + "+", -1), lambda w: w != "")
+    bare = F.btrim(F.lower(text_of(text)), F.lit(" \t\n\x0b\f\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_CLASS + "+", -1))
 
 
 def _shingles(words: Column, size: int) -> Column:

@@ -90,14 +90,18 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (most - least <= 1) & (prefix(a, b) + prefix(F.reverse(a), F.reverse(b)) >= most - 1)
 
 
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
+
+
 def _words(line: Column) -> Column:
     """Of a line without words, one empty word."""
-    return F.split(F.btrim(line, F.lit(" \t\n\x0b\f\r")), _SPACES, -1)
+    return F.split(_bare(line), _SPACES, -1)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     lines = docs.select("id", "version", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    return lines.select("id", "version", "line", _words(F.col("content")).alias("words")).where("words[0] <> ''")
+    return lines.where(_bare(F.col("content")) != "").select("id", "version", "line", _words(F.col("content")).alias("words"))
 
 
 def _hashes(words: Column, min_words: int) -> list[Column]:
