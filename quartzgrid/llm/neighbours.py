@@ -83,9 +83,19 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["dim", "ids", "vectors", "codes", "own"])
 
 
-def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of rows with rows, each row's value depending on its numbers alone, not on its place."""
-    return np.clip((a * b).sum(axis=1) / (lengths(a) * lengths(b)), -1.0, 1.0)
+def squares(vectors: np.ndarray) -> np.ndarray:
+    return np.cumsum(vectors * vectors, axis=1)[:, -1]
+
+
+def cosines(a: np.ndarray, b: np.ndarray, aa: np.ndarray, bb: np.ndarray) -> np.ndarray:
+    """Of rows with rows, given their sums of squares: sums run from the first component to the last, so a row's value depends on its numbers alone."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore", divide="ignore"):
+        out = np.cumsum(a * b, axis=1)[:, -1] / np.sqrt(aa * bb)
+    far = ~np.isfinite(aa * bb) | (aa * bb == 0)  # beyond what squares of doubles hold: scaled first
+    if far.any():
+        x, y = (v[far] / np.abs(v[far]).max(axis=1, keepdims=True) for v in (a, b))
+        out[far] = np.cumsum(x * y, axis=1)[:, -1] / np.sqrt(squares(x) * squares(y))
+    return np.clip(out, -1.0, 1.0)
 
 
 def _reranked(k: int):
@@ -106,7 +116,8 @@ def _reranked(k: int):
 
 def _best(ids, vectors, codes, own, asked, queries, k: int) -> pa.RecordBatch:
     dim, n = vectors.shape[1], len(ids)
-    turned = (queries / lengths(queries)[:, None]) @ rotation(dim).T
+    scaled = queries / np.abs(queries).max(axis=1, keepdims=True)
+    turned = (scaled / lengths(scaled)[:, None]) @ rotation(dim).T
     signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
     inner = turned.astype(np.float32) @ signs.T / np.sqrt(dim)
     estimate = inner / own[None, :].astype(np.float32)
@@ -126,6 +137,7 @@ def _best(ids, vectors, codes, own, asked, queries, k: int) -> pa.RecordBatch:
 
 
 def _exact(queries: np.ndarray, vectors: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    step = max(1, 4_000_000 // queries.shape[1])
-    parts = [cosines(queries[q[k : k + step]], vectors[c[k : k + step]]) for k in range(0, len(q), step)]
+    step = max(1, 2_000_000 // queries.shape[1])
+    qq, cc = squares(queries), squares(vectors)
+    parts = [cosines(queries[q[k : k + step]], vectors[c[k : k + step]], qq[q[k : k + step]], cc[c[k : k + step]]) for k in range(0, len(q), step)]
     return np.concatenate(parts) if parts else np.zeros(0)

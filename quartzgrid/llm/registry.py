@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from quartzgrid.catalog import Catalog, table
-from quartzgrid.llm import decontamination, line_dedup, neighbours, packing, quality_classifier, secret_scan, sharding, simhash, substring_dedup, token_counts
+from quartzgrid.llm import decontamination, line_dedup, neighbours, packing, quality_classifier, secret_scan, sharding, simhash, sql, substring_dedup, token_counts
 from quartzgrid.llm.common import shared_folder
 
 CATALOG = Catalog()
@@ -37,12 +37,12 @@ def op10_simhash(spark, sf_dir):
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
-@CATALOG.query("op3_neighbours")
+@CATALOG.query("op3_neighbours", sql.NEIGHBOURS)
 def op3_neighbours(spark, sf_dir):
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-@CATALOG.query("op4_substring_dedup")
+@CATALOG.query("op4_substring_dedup", sql.PASSAGES)
 def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup_passages(table(spark, sf_dir, "documents"))
 
@@ -51,7 +51,7 @@ def _of_kind(kind: str):
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
 
-@CATALOG.query("op7_secret_scan")
+@CATALOG.query("op7_secret_scan", sql.SECRETS)
 def op7_secret_scan(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     found = secret_scan.scan(documents, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
@@ -71,10 +71,7 @@ def op6_decontamination(spark, sf_dir):
     return leaks.select(F.col("id").alias("doc_id"), "item_id", "start", "n_words", "similarity")
 
 
-_SHARDED = "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents"
-
-
-@CATALOG.query("op9_sharding", _SHARDED)
+@CATALOG.query("op9_sharding", sql.SHARDS)
 def op9_sharding(spark, sf_dir):
     store = sharding.ShardStore(spark, f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}")
     store.drop_at_exit()

@@ -61,7 +61,7 @@ def test_neighbours_match_brute_force(spark):
     hits = 0
     for q in (0, 50, 100, 150, 200, 250):
         own = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
-        scores = neighbours.cosines(np.repeat(matrix[q : q + 1], 300, axis=0), matrix)
+        scores = neighbours.cosines(np.repeat(matrix[q : q + 1], 300, axis=0), matrix, np.repeat(neighbours.squares(matrix[q : q + 1]), 300), neighbours.squares(matrix))
         best = [c for c in np.lexsort((np.arange(300), -scores)) if c != q][:5]
         assert [r["rank"] for r in own] == [1, 2, 3, 4, 5] and all(r.score == scores[r.vec_id] for r in own)
         hits += len(set(best) & {r.vec_id for r in own})
