@@ -10,6 +10,7 @@ number of boundaries.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -126,10 +127,10 @@ class _Tokens:
         """Letters need only the vocabulary's merges."""
         if not text.isalpha():
             return self._encoded(text)
-        return np.array([x.id for x in self.model.tokenize(text.lower().encode().decode("latin1").translate(self.chars))], "<u4").tobytes()
+        return _as_bytes([x.id for x in self.model.tokenize(text.lower().encode().decode("latin1").translate(self.chars))])
 
     def _encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def of(self, text: str, end_id: int, longest: int = LONGEST) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The ids, the token offsets of its boundaries (its end is the last) and their penalties."""
@@ -151,6 +152,10 @@ class _Tokens:
         return marked[~stop].tobytes() + end_id.to_bytes(4, "little"), own, penalties
 
 
+def _as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def lowered_words(text: str) -> list[bytes]:
     """Words between ASCII white space, and points and commas apart from them where that changes no token.
 
