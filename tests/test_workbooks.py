@@ -85,3 +85,49 @@ def test_files_to_cells_to_text(spark, tmp_path):
     assert len(text["a.xlsx"].text) <= 600 and "rows omitted" in text["a.xlsx"].text and text["b.csv"].rung == 0
     asked = {r.question: r.a1 for r in render.mine_cases(shown).collect()}
     assert asked["How is Sum calculated?"] == "B102" and asked["What is the row 7?"] == "B9"
+
+
+def test_objects_of_a_sheet():
+    from quartzgrid.formulas.references import Context
+    from quartzgrid.sources.objects import object_edges, sheet_objects
+    from quartzgrid.sources.workbook import Package
+
+    rel = lambda *targets: "<Relationships>" + "".join(f'<Relationship Id="r{k}" Target="{t}"/>' for k, t in enumerate(targets)) + "</Relationships>"
+    out = BytesIO()
+    with zipfile.ZipFile(out, "w") as package:
+        package.writestr("xl/worksheets/sheet1.xml", '<worksheet><dataValidations><dataValidation type="list" sqref="C2:C5"><formula1>Data!$A$2:$A$5</formula1></dataValidation><dataValidation sqref="E2"><formula1>"a,b"</formula1></dataValidation></dataValidations></worksheet>')
+        package.writestr("xl/worksheets/_rels/sheet1.xml.rels", rel("../drawings/d.xml", "../pivotTables/p.xml", "../pivotTables/q.xml"))
+        package.writestr("xl/drawings/_rels/d.xml.rels", rel("../charts/chart1.xml"))
+        package.writestr("xl/charts/chart1.xml", '<c:chart xmlns:c="x"><c:ser><c:tx><c:f>Data!$B$1</c:f></c:tx><c:val><c:f>Data!$B$2:$B$5</c:f></c:val></c:ser></c:chart>')
+        package.writestr("xl/pivotTables/p.xml", '<pivotTableDefinition name="P"><location ref="A3:B9"/></pivotTableDefinition>')
+        package.writestr("xl/pivotTables/_rels/p.xml.rels", rel("../pivotCache/c.xml"))
+        package.writestr("xl/pivotCache/c.xml", '<d><cacheSource type="worksheet"><worksheetSource ref="A1:B5" sheet="Data"/></cacheSource></d>')
+        package.writestr("xl/pivotTables/q.xml", '<pivotTableDefinition name="Q"><location ref="D3"/></pivotTableDefinition>')
+    found, warnings = sheet_objects(Package(out.getvalue()), "xl/worksheets/sheet1.xml")
+    context = Context(sheet="Data", sheets=["Data"])
+    read = {o.key: ([(e.row_lo, e.row_hi, e.col_lo, e.col_hi) for e in object_edges(o, context)[0]], [g.reason for g in object_edges(o, context)[1]]) for o in found}
+    assert not warnings and read == {"chart1": ([(1, 1, 2, 2), (2, 5, 2, 2)], []), "P": ([(1, 5, 1, 2)], []), "Q": ([], ["external_link"]), "validation C2:C5": ([(2, 5, 1, 1)], [])}
+
+
+def test_catalogue_and_sandbox(spark, tmp_path):
+    from quartzgrid.sources.catalogue import resolved, workbooks
+
+    for name in ("b.xlsx", "a.csv", "~$b.xlsx", "note.md"):
+        (tmp_path / name).write_bytes(b"x")
+    assert [r.path.rsplit("/", 1)[1] for r in workbooks(spark, str(tmp_path)).collect()] == ["a.csv", "b.xlsx"]
+    assert resolved(str(tmp_path / "a.csv"), [str(tmp_path)])
+    with pytest.raises(PermissionError):
+        resolved(str(tmp_path / ".." / "x"), [str(tmp_path)])
+
+
+def test_questions_about_cells(spark):
+    from quartzgrid.operators import formulas, session
+
+    cells = spark.createDataFrame([("S", 1, 1, "Rate", None), ("S", 1, 2, "5", None), ("S", 2, 2, "10", "=B1*2"), ("S", 3, 2, "15", "=SUM(B1:B2)")], "sheet string, row int, col int, display string, formula string")
+    edges = formulas.edges(cells.where("formula IS NOT NULL").select("sheet", "formula"), ["S"]).cache()
+    assert [(r.row, r.total) for r in session.find(cells, "rate").collect()] == [(1, 1)]
+    assert [r.row for r in session.dependents(cells, edges, "S", (1, 1, 2, 2)).collect()] == [2, 3]
+    assert {(r.row, r.row_lo, r.row_hi) for r in session.precedents(cells.where("formula IS NOT NULL"), edges, "S", (2, 3, 1, 9)).collect()} == {(2, 1, 1), (3, 1, 2)}
+    changes = spark.createDataFrame([(7, "S", 2, 2)], "change_id int, sheet string, row int, col int")
+    assert [(r.change_id, r.formula) for r in session.readers_of_changes(changes, edges).collect()] == [(7, "=SUM(B1:B2)")]
+    assert [(r.pattern, r.n_cells) for r in formulas.clusters(cells).orderBy("pattern").collect()] == [("=B#*2", 1), ("=SUM(B#:B#)", 1)]
