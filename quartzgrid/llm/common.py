@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +35,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: like cut(), but packed, for tables that are read more than once.
+
+    What was shuffled to make them is not needed any more; the collections let Spark's cleaner delete those files now.
+    """
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/kept-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.option("compression", "zstd").parquet(path.toString())
+    schema = df.schema
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path.toString())
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the configured one, and a temporary one only where none is set (tests)."""
     return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quartzgrid.llm.common import SPACE_CLASS, cut, text_of
+from quartzgrid.llm.common import SPACE_CLASS, kept, text_of
 
 MIN_WORDS = 8
 #: Running exclusive-ors are kept at every STEP-th word, so that each takes at most STEP steps.
@@ -34,7 +34,7 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_column: str
     words count as one line; other lines at equal places don't remove each other. An empty table gives no rows.
     """
     docs = documents.withColumn("__version", F.xxhash64(text_of(F.col(text_column))))
-    gone = removed_lines(documents, min_words, id_column, text_column).groupBy("id", "version").agg(F.collect_set("line").alias("__gone"))
+    gone = kept(removed_lines(documents, min_words, id_column, text_column).groupBy("id", "version").agg(F.collect_set("line").alias("__gone")))
     named = gone.select(F.col("id").alias("__id"), F.col("version").alias("__of"), "__gone")
     joined = docs.join(named, (F.col(id_column).cast("long") == F.col("__id")) & (F.col("__version") == F.col("__of")), "left")
     lines = F.split(text_of(F.col(text_column)), "\n", -1)
@@ -49,9 +49,9 @@ def removed_lines(documents: DataFrame, min_words: int, id_column: str, text_col
     """(id, version, line) of the lines to remove, lines numbered from 0."""
     docs = documents.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), text_of(F.col(text_column)).alias("text"))
     docs = docs.select("id", F.xxhash64("text").alias("version"), "text")
-    hashed = cut(_lines(docs).select("id", "version", "line", *_hashes(F.col("words"), min_words)))
+    hashed = kept(_lines(docs).select("id", "version", "line", *_hashes(F.col("words"), min_words)))
     place = F.struct("id", "line", "version")
-    distinct = cut(hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("halves").alias("halves")))
+    distinct = kept(hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("halves").alias("halves")))
     near = near_copies(docs, distinct, min_words)
     # Each occurrence but the first of its words goes, and the first too if it is a near copy of an earlier line.
     firsts = distinct.select("h1", "h2", "first").join(near, "first", "left").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
@@ -69,8 +69,8 @@ def near_copies(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFra
     lines = F.split("text", "\n", -1)
     chosen = docs.join(by_document, ["id", "version"]).select("id", "version", F.explode("chosen").alias("line"), lines.alias("lines"))
     chosen = chosen.select(F.struct("id", "line", "version").alias("first"), _words(F.get("lines", "line")).alias("words")).dropDuplicates(["first"])
-    chosen = cut(chosen)
-    keyed = cut(chosen.select("first", F.explode(_variants(F.col("words"))).alias("variant")).select("first", "variant.*"))
+    chosen = kept(chosen)
+    keyed = kept(chosen.select("first", F.explode(_variants(F.col("words"))).alias("variant")).select("first", "variant.*"))
     replaced = keyed.where("place IS NOT NULL")
     earliest = replaced.groupBy("n", "place", "rest").agg(F.min("first").alias("partner"), F.count("*").alias("lines")).where("lines > 1")
     pairs = replaced.join(earliest, ["n", "place", "rest"]).where(F.col("first") > F.col("partner")).select("first", "partner")
@@ -79,7 +79,7 @@ def near_copies(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFra
     around = keyed.where("place IS NULL AND NOT whole").join(whole, ["n", "rest"]).select(F.greatest("first", "base").alias("first"), F.least("first", "base").alias("partner"))
     pairs = pairs.unionByName(around).distinct()
     both = pairs.join(chosen.withColumnRenamed("words", "own"), "first").join(chosen.select(F.col("first").alias("partner"), F.col("words").alias("other")), "partner")
-    return both.where(within_one_edit(F.col("own"), F.col("other"))).select("first", F.lit(True).alias("near")).distinct()
+    return kept(both.where(within_one_edit(F.col("own"), F.col("other"))).select("first", F.lit(True).alias("near")).distinct())
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
