@@ -142,3 +142,19 @@ def test_near_copies(spark):
     assert {x for x in got if x is not None} == want
     assert got.count(None) == 2 and got.count(22) <= 1
     assert near_copies.keep_one_of_each(empty(spark)).count() == 0
+
+
+def test_near_copies_that_repeat_a_phrase(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(12):
+        own = " ".join(f"t{rng.randrange(10**6)}" for _ in range(300))
+        phrase = " ".join(f"p{rng.randrange(10**6)}" for _ in range(5))
+        rows += [(2 * k, f"{own} {' '.join([phrase] * 4)}", *[None] * 7), (2 * k + 1, f"{own} {' '.join([phrase] * 100)}", *[None] * 7)]
+    assert sorted(r.doc_id for r in near_copies.keep_one_of_each(frame(spark, rows)).collect()) == list(range(0, 24, 2))
+
+
+def test_pairs_with_few_shingles_are_not_judged_by_fingerprints():
+    keys, ids, fps = np.zeros(2, np.int64), np.array([1, 2]), np.array([0, (1 << 30) - 1], np.uint64)
+    assert near_copies._band_pairs(keys, ids, fps, np.array([4, 5])).tolist() == [[1, 2]]
+    assert len(near_copies._band_pairs(keys, ids, fps, np.array([400, 500]))) == 0
