@@ -158,3 +158,38 @@ def test_pairs_with_few_shingles_are_not_judged_by_fingerprints():
     keys, ids, fps = np.zeros(2, np.int64), np.array([1, 2]), np.array([0, (1 << 30) - 1], np.uint64)
     assert near_copies._band_pairs(keys, ids, fps, np.array([4, 5])).tolist() == [[1, 2]]
     assert len(near_copies._band_pairs(keys, ids, fps, np.array([400, 500]))) == 0
+
+
+def template_family(rng, members):
+    """Texts that share 300 shingles (similarity 0.75); two by two they share more (0.87)."""
+    common = " ".join(f"c{k}" for k in range(300))
+    out = []
+    for k in range(members // 2):
+        shared = " ".join(f"s{k}x{m}" for m in range(25))
+        out += [f"{common} {shared} " + " ".join(f"u{k}x{side}x{m}" for m in range(25)) for side in range(2)]
+    ids = rng.sample(range(10 * members), members)
+    return list(zip(ids, out))
+
+
+def test_near_copies_in_a_family_of_one_template(spark, monkeypatch):
+    family = template_family(random.Random(11), 300)
+    want = sorted(min(a[0], b[0]) for a, b in zip(family[::2], family[1::2]))
+    rows = [(k, t, *[None] * 7) for k, t in family]
+    assert sorted(r.doc_id for r in near_copies.keep_one_of_each(frame(spark, rows)).collect()) == want
+    monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", 20 * 350)
+    assert sorted(r.doc_id for r in near_copies.keep_one_of_each(frame(spark, rows)).collect()) == want
+
+
+def test_links_between_blocks():
+    rng = random.Random(12)
+    sets = []
+    for k in range(60):
+        base = rng.sample(range(10**6), rng.randrange(1, 60)) if k % 3 == 0 else sorted(sets[-1].tolist())
+        sets.append(np.unique(np.array(base + rng.sample(range(10**6), rng.randrange(4)), np.uint64)))
+    groups = np.array([100 - k + k % 2 for k in range(60)])
+    for left, right in ((range(60), range(60)), (range(0, 60, 2), range(1, 60, 2))):
+        near = {(i, j) for i in left for j in right if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+        found = set(map(tuple, near_copies.between(sets, groups, np.array(left), np.array(right), 0.8).tolist()))
+        assert found <= near
+        joined = lambda links: components(60, lambda i, j: groups[i] == groups[j] or (i, j) in links or (j, i) in links)
+        assert joined(found) == joined(near)
