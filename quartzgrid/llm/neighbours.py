@@ -38,11 +38,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "
     SLOT_QUERIES against all rows in blocks of BLOCK_ROWS; a block and a slot meet in one place, and only k rows of
     each query leave it.
     """
-    doubles = F.transform(F.col(vector_column), lambda x: x.cast("double"))
-    rows = vectors.where(F.col(id_column).isNotNull() & usable(F.col(vector_column))).select(F.col(id_column).cast("long").alias("id"), doubles.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    queries = rows.where("asks").select("id", "vector")
+    doubles = F.transform(F.col("vector"), lambda x: x.cast("double")).alias("vector")
+    rows = vectors.where(F.col(id_column).isNotNull() & usable(F.col(vector_column))).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    queries = rows.where("asks").select("id", "vector").distinct().select("id", doubles)
     slots = max(1, -(-queries.count() // SLOT_QUERIES))
-    packed = rows.select("id", "vector").mapInArrow(_encoded, "dim int, ids binary, vectors binary, codes binary, own binary")
+    packed = rows.select("id", "vector").distinct().select("id", doubles).mapInArrow(_encoded, "dim int, ids binary, vectors binary, codes binary, own binary")
     asked = queries.select((F.size("vector")).alias("dim"), F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int").alias("slot"), "id", "vector").repartition("slot", "dim")
     asked = asked.groupBy("slot", "dim").agg(F.collect_list("id").alias("query_ids"), F.flatten(F.collect_list("vector")).alias("queries"))
     met = packed.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).join(asked, ["slot", "dim"])

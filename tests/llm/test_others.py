@@ -69,6 +69,16 @@ def test_neighbours_match_brute_force(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = list(enumerate(rng.normal(size=(60, 16)).tolist()))
+    find = lambda data: sorted(map(tuple, neighbours.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>").coalesce(1), F.col("vec_id") % 20 == 0).collect()))
+    want = find(rows)
+    assert len(want) == 15
+    for copies in (2, 5):
+        assert find(rows * copies) == want
+
+
 def test_decontamination(spark):
     item = " ".join(f"i{k}" for k in range(40))
     words = item.split()
