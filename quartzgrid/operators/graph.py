@@ -6,17 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MAX_DEPTH, MAX_NODES, MAX_BYTES = 3, 200, 1_000_000
-
+from quartzgrid.storage import cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared checkpoint folder; a folder is set only where none is configured."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+MAX_DEPTH, MAX_NODES, MAX_BYTES = 3, 200, 1_000_000
 
 
 def expand(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
