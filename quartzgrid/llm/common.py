@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words are runs of characters other than ASCII white space.
@@ -26,42 +23,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder, so that a lost executor costs no recomputation from the source."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: like cut(), but packed, for tables that are read more than once.
-
-    What was shuffled to make them is not needed any more; the collections let Spark's cleaner delete those files now.
-    """
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/kept-{uuid.uuid4().hex}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.option("compression", "zstd").parquet(path.toString())
-    schema = df.schema
-    del df
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path.toString())
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the configured one, and a temporary one only where none is set (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
-
-
 class WordTable(dict):
     """Word -> value, filled on demand. Two generations of at most `most` entries bound its memory: when the young one is
     full it becomes the old one, from which words still in use come back.
     """
 
-    def __init__(self, make: Callable[[bytes], object], most: int = 500_000) -> None:
+    def __init__(self, make: Callable[[bytes], object], most: int = 200_000) -> None:
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
@@ -70,7 +37,8 @@ class WordTable(dict):
         if value is None:
             value = self.make(word)
         if len(self) >= self.most:
-            self.old = dict(self)
+            self.old.clear()
+            self.old.update(self)
             self.clear()
         if len(word) <= 64:
             self[word] = value
@@ -131,3 +99,46 @@ def arrow_batches(function: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -
 def text_of(text: Column) -> Column:
     """Null texts count as empty."""
     return F.coalesce(text, F.lit(""))
+
+
+def joined_words(text: Column) -> Column:
+    """The words joined by single spaces. Texts that are so already, but for single line ends, take no regular expression."""
+    line = F.replace(text, F.lit("\n"), F.lit(" "))
+    other = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for c in "\t\x0b\f\r":
+        other = other | F.contains(line, F.lit(c))
+    return F.when(other, F.btrim(F.regexp_replace(line, SPACE_CLASS + "+", " "), F.lit(" "))).otherwise(line)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: a lambda over an array of one."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """array of what `combine` makes of each prefix of an array, the prefix's last element included.
+
+    Prefixes are folded anew from the last of about root(n) places only: n to the power of 1.5 steps and no growing arrays.
+    """
+    fold = lambda array: F.aggregate(array, zero, combine)
+
+    def sized(v: Column) -> Column:
+        return F.struct(v.alias("v"), F.greatest(F.lit(8), F.ceil(F.sqrt(F.size(v))).cast("int")).alias("step"))
+
+    def blocked(x: Column) -> Column:
+        last = F.floor((F.size(x["v"]) - 1) / x["step"]).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: fold(F.slice(x["v"], k * x["step"] + 1, x["step"])))
+        return F.struct(x["v"].alias("v"), x["step"].alias("step"), blocks.alias("blocks"))
+
+    def preceded(x: Column) -> Column:
+        before = F.transform(x["blocks"], lambda _, k: fold(F.slice(x["blocks"], F.lit(1), k)))
+        return F.struct(x["v"].alias("v"), x["step"].alias("step"), before.alias("before"))
+
+    def built(x: Column) -> Column:
+        def upto(_: Column, i: Column) -> Column:
+            k = F.floor(i / x["step"]).cast("int")
+            return combine(x["before"][k], fold(F.slice(x["v"], k * x["step"] + 1, i - k * x["step"] + 1)))
+
+        return F.transform(x["v"], upto)
+
+    return bound(bound(bound(bound(values, sized), blocked), preceded), built)

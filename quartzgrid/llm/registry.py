@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quartzgrid.catalog import Catalog, table
 from quartzgrid.llm import decontamination, line_dedup, neighbours, packing, quality_classifier, secret_scan, sharding, simhash, sql, substring_dedup, token_counts
-from quartzgrid.llm.common import shared_folder
+from quartzgrid.storage import shared_folder
 
 CATALOG = Catalog()
 
@@ -61,8 +61,8 @@ def op7_secret_scan(spark, sf_dir):
 
 @CATALOG.query("op5_line_dedup")
 def op5_line_dedup(spark, sf_dir):
-    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_lines", "n_removed"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 @CATALOG.query("op6_decontamination")

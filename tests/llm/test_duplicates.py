@@ -88,6 +88,18 @@ def test_passages(spark):
     assert substring_dedup.dedup_passages(empty(spark)).count() == 0
 
 
+def test_passage_of_more_rows_than_a_batch(spark):
+    """A passage that more documents hold than Arrow sends at once, ids in no order: only the least keeps it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        passage = " ".join(f"p{k}" for k in range(60))
+        rows = [(k * 37 % 101, f"a{k} " + passage[: len(passage) - k % 3 * 4] + f" z{k} z{k}", *[None] * 7) for k in range(101)]
+        got = substring_dedup.dedup_passages(frame(spark, rows), 50).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == slow_passages(rows, 50)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def edits(a, b):
     if abs(len(a) - len(b)) > 1:
         return 2
@@ -112,9 +124,9 @@ def test_lines(spark):
             if not (own and near):
                 kept.append(part)
         want[k] = (None if text is None else "\n".join(kept), len((text or "").split("\n")) - len(kept))
-    got = line_dedup.dedup_lines(frame(spark, rows))
+    got = line_dedup.dedup_lines(frame(spark, rows), counts=("lines", "removed"))
     assert got.columns[:9] == frame(spark).columns
-    found = [(r.doc_id, r.text, r["__removed"]) for r in got.collect()]
+    found = [(r.doc_id, r.text, r.removed) for r in got.collect()]
     assert len(found) == len(rows)
     assert {(k, t, n) for k, t, n in found if k is not None} == {(k, *v) for k, v in want.items()}
     assert (None, line, 0) in found
@@ -134,13 +146,13 @@ def test_near_copies(spark):
     assert kept.columns == frame(spark).columns
     named = [r for r in rows if r[0] is not None]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((r[1] or "").encode().lower().split() for r in named)]
-    like = lambda i, j: named[i][0] == named[j][0] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    like = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
     order = sorted(range(len(named)), key=lambda i: named[i][0])
     roots = components(len(named), lambda i, j: like(order[i], order[j]))
-    want = {named[order[r]][0] for r in roots}
+    want = sorted(named[order[r]][0] for r in set(roots))
     got = [r.doc_id for r in kept.collect()]
-    assert {x for x in got if x is not None} == want
-    assert got.count(None) == 2 and got.count(22) <= 1
+    assert sorted(x for x in got if x is not None) == want
+    assert got.count(None) == 2
     assert near_copies.keep_one_of_each(empty(spark)).count() == 0
 
 
