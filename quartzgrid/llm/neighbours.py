@@ -16,10 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quartzgrid.storage import BROADCAST_BYTES
+
 #: Half width of the error bound, in standard deviations of the estimate.
 EPSILON = 4.0
 #: Rows in a packed block, queries in a slot, candidates scored first to get a k-th best score.
-BLOCK_ROWS, SLOT_QUERIES, FIRST = 4096, 2048, 32
+BLOCK_ROWS, SLOT_QUERIES, FIRST = 4096, 512, 32
+#: Rows of a group, where the queries are too many to be broadcast: a group and a slot meet in one place.
+GROUP_ROWS = 1 << 18
 SEED = 97
 
 
@@ -29,23 +33,33 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that `is_query` holds for, its k rows of largest cosine but its own.
 
     Nearest first, ties to the smaller id; all candidates if there are fewer than k. Vectors that are null, empty or
     zero or hold null or non-finite components take no part, nor do rows with a null id; vectors of other dimensions
-    than a query's are no candidates of it. Of rows with equal ids and vectors one counts. Queries go in slots of about
-    SLOT_QUERIES against all rows in blocks of BLOCK_ROWS; a block and a slot meet in one place, and only k rows of
-    each query leave it.
+    than a query's are no candidates of it. Of rows with equal ids and vectors one counts. An empty table gives no rows.
+    Columns other than those that the arguments name are not read, whatever their names.
+
+    Rows stay where they are read, packed in blocks of BLOCK_ROWS; queries come to them in slots of about SLOT_QUERIES:
+    broadcast, if all of them take at most `broadcast_bytes`; else each slot is sent once to each group of about
+    GROUP_ROWS rows, and each group once to each slot. Only k rows of each query leave a task. The work grows with rows
+    times queries, as all rows are to be searched.
     """
     doubles = F.transform(F.col("vector"), lambda x: x.cast("double")).alias("vector")
     rows = vectors.where(F.col(id_column).isNotNull() & usable(F.col(vector_column))).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     queries = rows.where("asks").select("id", "vector").distinct().select("id", doubles)
-    slots = max(1, -(-queries.count() // SLOT_QUERIES))
-    packed = rows.select("id", "vector").distinct().select("id", doubles).mapInArrow(_encoded, "dim int, ids binary, vectors binary, codes binary, own binary")
-    asked = queries.select((F.size("vector")).alias("dim"), F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int").alias("slot"), "id", "vector").repartition("slot", "dim")
-    asked = asked.groupBy("slot", "dim").agg(F.collect_list("id").alias("query_ids"), F.flatten(F.collect_list("vector")).alias("queries"))
-    met = packed.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).join(asked, ["slot", "dim"])
+    total = queries.agg(F.count("*").alias("n"), F.sum(F.size("vector") * 8 + 16).alias("bytes")).first()
+    slots = max(1, -(-total.n // SLOT_QUERIES))
+    packed = rows.select("id", doubles).mapInArrow(_encoded, "dim int, ids binary, vectors binary, codes binary, own binary")
+    slot = F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int").alias("slot")
+    asked = queries.select(F.size("vector").alias("dim"), slot, "id", "vector").groupBy("slot", "dim").agg(F.collect_list("id").alias("query_ids"), F.flatten(F.collect_list("vector")).alias("queries"))
+    if (total.bytes or 0) <= broadcast_bytes:
+        met = packed.join(F.broadcast(asked), "dim")
+    else:
+        groups = max(1, -(-rows.count() // GROUP_ROWS))
+        dealt = packed.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+        met = dealt.join(asked.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))), ["slot", "dim", "group"]).select("dim", "ids", "vectors", "codes", "own", "slot", "query_ids", "queries")
     best = met.mapInArrow(_reranked(k), "query_id long, vec_id long, score double").distinct()
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -100,40 +114,76 @@ def cosines(a: np.ndarray, b: np.ndarray, aa: np.ndarray, bb: np.ndarray) -> np.
 
 def _reranked(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots: dict[tuple[int, int], _Slot] = {}
         for batch in batches:
             for row in range(batch.num_rows):
                 dim = batch["dim"][row].as_py()
                 binary = lambda name, kind: np.frombuffer(batch[name][row].as_buffer(), kind)
                 ids, own = binary("ids", np.int64), binary("own", np.float64)
                 vectors, codes = binary("vectors", np.float64).reshape(-1, dim), binary("codes", np.uint8).reshape(len(ids), -1)
-                asked = batch["query_ids"][row].values.to_numpy(zero_copy_only=False)
-                queries = batch["queries"][row].values.to_numpy(zero_copy_only=False).reshape(-1, dim)
-                for a in range(0, len(asked), 512):
-                    yield _best(ids, vectors, codes, own, asked[a : a + 512], queries[a : a + 512], k)
+                key = (batch["slot"][row].as_py(), dim)
+                if key not in slots:
+                    asked = batch["query_ids"][row].values.to_numpy(zero_copy_only=False).copy()
+                    slots[key] = _Slot(asked, batch["queries"][row].values.to_numpy(zero_copy_only=False).reshape(-1, dim).copy(), k)
+                slots[key].search(*_distinct(ids, vectors, codes, own))
+        for slot in slots.values():
+            yield slot.found()
 
     return run
 
 
-def _best(ids, vectors, codes, own, asked, queries, k: int) -> pa.RecordBatch:
-    dim, n = vectors.shape[1], len(ids)
-    scaled = queries / np.abs(queries).max(axis=1, keepdims=True)
-    turned = (scaled / lengths(scaled)[:, None]) @ rotation(dim).T
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    inner = turned.astype(np.float32) @ signs.T / np.sqrt(dim)
-    estimate = inner / own[None, :].astype(np.float32)
-    bound = (EPSILON * np.sqrt(np.maximum(0, 1 - own**2)) / own / np.sqrt(max(1, dim - 1))).astype(np.float32)
-    estimate[asked[:, None] == ids[None, :]] = -np.inf
-    first = np.argpartition(-estimate, min(FIRST, n) - 1, axis=1)[:, : min(FIRST, n)]
-    q = np.repeat(np.arange(len(asked)), first.shape[1])
-    score = np.where(asked[q] == ids[first.ravel()], -np.inf, _exact(queries, vectors, q, first.ravel())).reshape(first.shape)
-    reach = -np.sort(-score, axis=1)[:, min(k, first.shape[1]) - 1]
-    q, c = np.nonzero((estimate + bound[None, :] >= reach[:, None] - 1e-6) & (asked[:, None] != ids[None, :]))
-    score = _exact(queries, vectors, q, c)
-    order = np.lexsort((ids[c], -score, q))
-    q, c, score = q[order], c[order], score[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    top = place < k
-    return pa.RecordBatch.from_arrays([pa.array(asked[q[top]]), pa.array(ids[c[top]]), pa.array(score[top])], names=["query_id", "vec_id", "score"])
+def _distinct(ids, vectors, codes, own):
+    """Repeated rows would take places from others: one of each stays."""
+    if len(np.unique(ids)) == len(ids):
+        return ids, vectors, codes, own
+    rows = np.concatenate([ids[:, None].view(np.uint8).reshape(len(ids), 8), np.ascontiguousarray(vectors).view(np.uint8).reshape(len(ids), -1)], axis=1)
+    first = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_index=True)[1]
+    return ids[first], vectors[first], codes[first], own[first]
+
+
+class _Slot:
+    """Queries and the best k rows of each among the blocks seen so far; their k-th scores are what a bound has to reach."""
+
+    def __init__(self, asked: np.ndarray, queries: np.ndarray, k: int) -> None:
+        self.asked, self.queries, self.k = asked, queries, k
+        scaled = queries / np.abs(queries).max(axis=1, keepdims=True)
+        self.turned = ((scaled / lengths(scaled)[:, None]) @ rotation(queries.shape[1]).T).astype(np.float32)
+        self.q, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.reach = np.full(len(asked), -np.inf)
+
+    def search(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, own: np.ndarray) -> None:
+        dim, n = vectors.shape[1], len(ids)
+        signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
+        estimate = self.turned @ signs.T
+        estimate /= (np.sqrt(dim) * own).astype(np.float32)[None, :]
+        bound = (EPSILON * np.sqrt(np.maximum(0, 1 - own**2)) / own / np.sqrt(max(1, dim - 1))).astype(np.float32)
+        estimate[self.asked[:, None] == ids[None, :]] = -np.inf
+        if not np.isfinite(self.reach).all():
+            first = np.argpartition(-estimate, min(FIRST, n) - 1, axis=1)[:, : min(FIRST, n)]
+            q = np.repeat(np.arange(len(self.asked)), first.shape[1])
+            self._merge(q, first.ravel(), ids, vectors)
+        estimate += bound[None, :]
+        q, c = np.nonzero(estimate >= (self.reach - 1e-6).astype(np.float32)[:, None])
+        self._merge(q, c, ids, vectors)
+
+    def _merge(self, q: np.ndarray, c: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        other = self.asked[q] != ids[c]
+        q, c = q[other], c[other]
+        score = _exact(self.queries, vectors, q, c)
+        q, named, score = (np.concatenate(x) for x in ((self.q, q), (self.ids, ids[c]), (self.scores, score)))
+        if not len(q):
+            return
+        order = np.lexsort((named, -score, q))
+        q, named, score = q[order], named[order], score[order]
+        again = np.append(False, (q[1:] == q[:-1]) & (named[1:] == named[:-1]) & (score[1:] == score[:-1]))
+        q, named, score = q[~again], named[~again], score[~again]
+        top = np.arange(len(q)) - np.searchsorted(q, q) < self.k
+        self.q, self.ids, self.scores = q[top], named[top], score[top]
+        last = np.arange(len(self.q)) - np.searchsorted(self.q, self.q) == self.k - 1
+        self.reach[self.q[last]] = self.scores[last]
+
+    def found(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.asked[self.q]), pa.array(self.ids), pa.array(self.scores)], names=["query_id", "vec_id", "score"])
 
 
 def _exact(queries: np.ndarray, vectors: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
