@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Unit words of a units row (fixed values).
-UNITS = ("usd", "eur", "gbp", "jpy", "chf", "inr", "cny", "m", "k", "bn", "mn", "%", "pct", "percent", "units", "unit", "kg", "g", "t", "tonnes", "km", "hours", "hrs", "days", "months", "years", "fte", "headcount", "thousands", "millions", "$", "€", "£", "¥")
+UNITS = (
+    "usd", "eur", "gbp", "jpy", "cad", "aud", "chf", "rmb", "cny", "mxn", "dollars", "euros", "pounds", "us dollars", "usd 000s", "euros 000s", "$", "€", "£", "¥", "₹", "%", "percent", "percentage", "bps", "pp", "kg", "g", "mg", "lb", "lbs", "oz", "t",
+    "tonne", "tonnes", "mm", "cm", "m", "km", "in", "ft", "yd", "mi", "ea", "each", "pcs", "pieces", "units", "unit", "u", "count", "qty", "quantity", "hours", "hrs", "hr", "day", "days", "week", "weeks", "month", "months", "year", "years", "k", "bn",
+    "thousand", "thousands", "million", "millions", "billion", "in thousands", "in millions", "in billions", "000s", "000", "per unit", "pct",
+)
+#: Words that begin a note (fixed values): whole words only.
+NOTES = ("note", "notes", "assumption", "assumptions", "source", "sources", "legend", "disclaimer", "warning", "footnote", "footnotes", "data as of", "as of", "prepared by", "methodology", "commentary", "definition", "definitions")
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
-NOTE = r"(?i)^\s*(notes?|sources?|footnotes?|disclaimer|nota|notas|fuente|\*|\(\d+\))"
+NOTE = r"(?i)^\s*(" + "|".join(NOTES) + r")\b"
 
 
 def tokens(text: Column) -> Column:
@@ -36,7 +42,7 @@ def qualified(sheet: Column, a1: Column) -> Column:
 
 
 def normalised_unit(text: Column) -> Column:
-    return F.lower(F.btrim(F.trim(text), F.lit(".:()")))
+    return F.lower(F.btrim(F.trim(text), F.lit(".:")))
 
 
 def is_unit(text: Column) -> Column:
@@ -113,3 +119,27 @@ def header_path(levels: Column, default: Column) -> Column:
 def display_number(value: Column) -> Column:
     """Integral numbers without a point."""
     return F.when((value == F.floor(value)) & (F.abs(value) < 1e15), value.cast("decimal(20,0)").cast("string")).otherwise(value.cast("string"))
+
+
+def display(kind: Column, num: Column, text: Column, when: Column) -> Column:
+    """A value in prose: TRUE and FALSE, whole numbers without a point, dates as ISO text, nothing for null."""
+    day = F.date_format(when, "yyyy-MM-dd HH:mm:ss")
+    return (
+        F.when(kind == "boolean", F.when(num != 0, "TRUE").otherwise("FALSE")).when(kind == "number", display_number(num))
+        .when(kind == "date", day).otherwise(F.coalesce(text, F.lit("")))
+    )
+
+
+def json_number(value: Column) -> Column:
+    """Null for what JSON has no number for."""
+    return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
+
+
+def name_label(name: Column, scope_sheet: Column) -> Column:
+    """A defined name, and in brackets the sheet that it belongs to, if it doesn't belong to the workbook."""
+    return F.when(scope_sheet.isNull(), name).otherwise(F.concat(name, F.lit(" (sheet "), scope_sheet, F.lit(")")))
+
+
+def node_kind(node: Column) -> Column:
+    """The kind in a node's id: its third part."""
+    return F.split_part(node, F.lit(":"), F.lit(3))

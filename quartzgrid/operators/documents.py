@@ -1,4 +1,4 @@
-"""From cells and regions to the two document tables: chunks to search, structure to look up. One select a kind, then a union."""
+"""From cells, regions and facts to the chunks that are searched: one select a kind, then a union. The structure table is operators.structure."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quartzgrid.functions.a1 import to_a1
-from quartzgrid.functions.text import node_id, qualified, version_key
-from quartzgrid.operators.formulas import clusters
+from quartzgrid.functions.text import node_id, version_key
+from quartzgrid.operators import model
 
 CHUNK = ["workbook_id", "version", "node_id", "sheet_name", "a1_range", "chunk_type", "title", "content", "headers", "version_key"]
 GROUPS, LEAST = 8, 50
@@ -25,10 +25,11 @@ def _chunk(df: DataFrame, kind: str, key: Column, sheet: Column, a1: Column, tit
     return df.select("workbook_id", "version", _key(kind, key).alias("node_id"), sheet.alias("sheet_name"), a1.alias("a1_range"), F.lit(kind).alias("chunk_type"), title.alias("title"), content.alias("content"), headers.alias("headers"), version_key(F.col("workbook_id"), F.col("version")).alias("version_key"))
 
 
-def chunks(cells: DataFrame, regions: DataFrame) -> DataFrame:
+def chunks(cells: DataFrame, regions: DataFrame, facts: DataFrame) -> DataFrame:
     """cells(workbook_id, version, sheet, row, col, kind, display, formula), regions as operators.regions gives them, with version.
 
-    A workbook, its sheets, regions, columns, row groups and formula clusters each give a chunk. Their number doesn't
+    facts as sources.workbook gives them. A workbook, its sheets, regions, columns, row groups, formula clusters, objects,
+    defined names and macro sheets each give a chunk. Their number doesn't
     grow with the rows: at most eight row groups a region, one chunk a pattern of formulas.
     """
     where = F.lit(None).cast("string")
@@ -42,8 +43,11 @@ def chunks(cells: DataFrame, regions: DataFrame) -> DataFrame:
     columns = tables.select("*", F.posexplode(F.arrays_zip(F.col("headers").alias("header"), F.col("units").alias("unit"), F.col("types").alias("type"))).alias("ix", "column"))
     column = _chunk(columns, "column", F.concat(at, F.lit("!"), F.col("ix")), F.col("sheet"), F.col("a1"), F.col("column.header"), F.concat_ws("\n", F.concat(F.lit("Type: "), "column.type"), F.when(F.col("column.unit") != "", F.concat(F.lit("Unit: "), "column.unit"))), F.array("column.header"))
     group = row_groups(cells, tables)
-    formula = clusters_as_chunks(cells)
-    return reduce(DataFrame.unionByName, [book, sheet, region, column, group, formula])
+    from quartzgrid.operators import structure
+
+    known, versions = model.of_workbooks(facts), cells.select("workbook_id", "version").distinct()
+    rest = [structure.formula_chunks(cells, known), structure.object_chunks(known, versions), structure.name_chunks(known, versions), structure.macro_sheet_chunks(known, versions)]
+    return reduce(DataFrame.unionByName, [book, sheet, region, column, group, *rest])
 
 
 def row_groups(cells: DataFrame, tables: DataFrame) -> DataFrame:
@@ -56,22 +60,3 @@ def row_groups(cells: DataFrame, tables: DataFrame) -> DataFrame:
     size = F.greatest(F.lit(LEAST), F.ceil(F.col("n") / GROUPS))
     grouped = rows.withColumn("n", n).withColumn("rn", rn).withColumn("group", F.floor((F.col("rn") - 1) / size)).groupBy(*keys, "group").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("lines"))
     return _chunk(grouped, "row_group", F.concat("sheet", F.lit("!"), "a1", F.lit("!rows"), "group"), F.col("sheet"), F.col("a1"), F.concat("sheet", F.lit(" rows "), "first", F.lit("-"), "last"), F.col("lines"), F.col("headers"))
-
-
-def clusters_as_chunks(cells: DataFrame) -> DataFrame:
-    named = cells.where("formula IS NOT NULL").withColumn("sheet", F.concat_ws("\x1f", "workbook_id", "version", "sheet"))
-    found = clusters(named).withColumn("part", F.split("sheet", "\x1f"))
-    span = F.struct("row_lo", "row_hi", "col_lo", "col_hi")
-    found = found.select(F.col("part")[0].alias("workbook_id"), F.col("part")[1].cast("int").alias("version"), F.col("part")[2].alias("sheet"), to_a1(span).alias("a1"), "first_formula", "pattern", "n_cells")
-    return _chunk(found, "formula_summary", F.concat("sheet", F.lit("!"), "a1"), F.col("sheet"), F.col("a1"), qualified(F.col("sheet"), F.col("a1")), F.concat(F.col("first_formula"), F.lit("\nCells: "), F.col("n_cells")))
-
-
-def dangling_targets(edges: DataFrame, structure: DataFrame) -> DataFrame:
-    """Targets of edges that no node stands for, each once."""
-    return edges.select(F.col("target_node_id").alias("node_id")).where("node_id IS NOT NULL").distinct().join(structure.select("node_id"), "node_id", "left_anti")
-
-
-def with_children(structure: DataFrame) -> DataFrame:
-    """child_ids in node order; counted nodes are bounded by the document ceiling."""
-    children = structure.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list("node_id")).alias("child_ids"))
-    return structure.join(children, "node_id", "left").withColumn("child_ids", F.coalesce("child_ids", F.array().cast("array<string>")))

@@ -17,7 +17,7 @@ from quartzgrid.functions.text import NOTE, UNITS
 from quartzgrid.sources.workbook import letters, position
 
 HEADER_ROWS, GROUP_LEAST, GROUPS = 3, 50, 8
-REGIONS = "workbook_id string, sheet string, region_ix int, kind string, a1 string, row_lo int, row_hi int, col_lo int, col_hi int, title string, headers array<string>, units array<string>, types array<string>, n_rows int"
+REGIONS = "workbook_id string, sheet string, region_ix int, kind string, a1 string, row_lo int, row_hi int, col_lo int, col_hi int, title string, headers array<string>, units array<string>, types array<string>, n_rows int, header_rows array<int>, units_row int, cols array<int>"
 _NOTE = re.compile(NOTE)
 
 
@@ -34,6 +34,8 @@ class Region:
     types: list[str] = field(default_factory=list)
     n_rows: int = 0
     header_rows: tuple[int, ...] = ()
+    units_row: int | None = None
+    cols: list[int] = field(default_factory=list)
 
     @property
     def a1(self) -> str:
@@ -99,7 +101,7 @@ def _block(cells, cover, rows: dict[int, list[int]], low: int, high: int, left:
             break
         heads.append(r)
     units_row = None
-    normal = lambda t: t.strip().strip(".:()").lower()
+    normal = lambda t: t.strip().strip(".:").lower()
     if len(heads) >= 2 and (texts := [normal(t) for t in text_of(heads[-1]) if t.strip()]) and all(t in UNITS for t in texts):
         units_row = heads.pop()
     data = [r for r in body if r not in heads and r != units_row]
@@ -116,11 +118,12 @@ def _block(cells, cover, rows: dict[int, list[int]], low: int, high: int, left:
         cell = cells.get((r, c)) or (cells.get(span[:2]) if span else None)
         return str(cell[1]) if cell and cell[1] is not None else ""
 
-    region = Region("table", body[0], data[-1], left, right, n_rows=len(data), header_rows=tuple(heads))
+    region = Region("table", body[0], data[-1], left, right, n_rows=len(data), header_rows=tuple(heads), units_row=units_row)
     for c in range(left, right + 1):
         present = [cells[r, c] for r in data if (r, c) in cells]
         path = " / ".join(dict.fromkeys(h for h in (head(r, c) for r in heads) if h))
         if present or path:
+            region.cols.append(c)
             region.headers.append(path or f"Column {letters(c)}")
             region.units.append(str(cells[units_row, c][1]) if units_row and (units_row, c) in cells else "")
             region.types.append(column_type({k for k, _ in present}))
@@ -151,8 +154,8 @@ def regions(cells: DataFrame) -> DataFrame:
             held[int(row), int(col)] = ("formula" if formula else kind, num if kind == "number" else text)
             if span:
                 merged.append(span)
-        rows = [(frame["workbook_id"].iloc[0], frame["sheet"].iloc[0], k, r.kind, r.a1, r.row_lo, r.row_hi, r.col_lo, r.col_hi, r.title, r.headers, r.units, r.types, r.n_rows) for k, r in enumerate(detect(held, merged))]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in REGIONS.split(", ")])
+        rows = [(frame["workbook_id"].iloc[0], frame["sheet"].iloc[0], k, r.kind, r.a1, r.row_lo, r.row_hi, r.col_lo, r.col_hi, r.title, r.headers, r.units, r.types, r.n_rows, list(r.header_rows), r.units_row, r.cols) for k, r in enumerate(detect(held, merged))]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in REGIONS.split(", ")]).astype({"units_row": "Int32"})
 
     columns = ["workbook_id", "sheet", "row", "col", "kind", "num", "str", "formula", "merged_range"]
     return cells.select(*columns).groupBy("workbook_id", "sheet").applyInPandas(run, REGIONS)

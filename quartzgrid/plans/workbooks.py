@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from quartzgrid.catalog import Catalog, table
 from quartzgrid.functions.embed import hash_embedder
-from quartzgrid.operators import documents, regions, render, whatif
-from quartzgrid.sources.workbook import CELLS, cells_of
+from quartzgrid.operators import documents, regions, render, structure, whatif
+from quartzgrid.sources.workbook import cells_frame, facts_frame
 from quartzgrid.sources.write_xlsx import workbook
 from quartzgrid.streaming import events as streams
 
@@ -32,24 +32,13 @@ def _files(spark, sf_dir):
         rows.append(["Total", (f"=SUM(B2:B{len(rows)})", int(frame["n_nationkey"].sum())), (f"=B{len(rows) + 1}*Rate", int(frame["n_nationkey"].sum()) * 2)])
         return pd.DataFrame({"path": [f"{frame['r_name'].iloc[0]}.xlsx"], "content": [workbook({"Data": rows}, names={"Rate": "Data!$E$1"})]})
 
-    return nations.groupBy("r_regionkey").applyInPandas(build, "path string, content binary")
+    files = nations.groupBy("r_regionkey").applyInPandas(build, "path string, content binary")
+    return files.select("path", F.sha2("content", 256).alias("sha256"), "content")
 
 
 def _cells(spark, sf_dir):
-    import pandas as pd
-
-    columns = [c.split()[0] for c in CELLS.split(", ")]
-
-    def read(frames):
-        for frame in frames:
-            rows = [r for p, d, c in zip(frame["path"], frame["sha256"], frame["content"]) for r in cells_of(p, d, bytes(c))]
-            out = pd.DataFrame(rows, columns=columns)
-            out["ts"] = pd.to_datetime(out["ts"])
-            yield out.astype({c: "Int32" for c in ("sheet_ix", "row", "col")} | {"num": "float64"})
-
-    cells = _files(spark, sf_dir).select("path", F.sha2("content", 256).alias("sha256"), "content").mapInPandas(read, CELLS)
-    display = F.coalesce(F.col("str"), F.when(F.col("num") == F.floor("num"), F.col("num").cast("long").cast("string")).otherwise(F.col("num").cast("string")))
-    return cells.select("*", F.col("path").alias("workbook_id"), F.lit(1).alias("version"), display.alias("display"))
+    cells = cells_frame(_files(spark, sf_dir))
+    return cells.select("*", F.col("path").alias("workbook_id"), F.lit(1).alias("version"), structure.shown().alias("display"))
 
 
 _NATIONS = "SELECT r_name || '.xlsx' AS workbook_id, n_name, n_nationkey, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) + 1 AS r FROM nation JOIN region ON n_regionkey = r_regionkey"
@@ -73,8 +62,9 @@ def detect_regions(spark, sf_dir):
     UNION ALL SELECT workbook_id, max(r) + 1, 3, 'recalculated', 3 * sum(CASE WHEN r = 2 THEN 100 ELSE n_nationkey END) FROM ({_NATIONS}) GROUP BY workbook_id""",
 )
 def calc_graph_eval(spark, sf_dir):
-    changes = [("Data", 2, 2, 100.0), ("Data", 1, 5, 3.0)]
-    found = whatif.recalculate(_cells(spark, sf_dir), changes, names={(None, "Rate"): "Data!$E$1"})
+    given = whatif.parse_changes({"Data!B2": "100", "data!E1": 3.0}, ["Data"])
+    books = [r.r_name + ".xlsx" for r in table(spark, sf_dir, "region").select("r_name").collect()]  # five
+    found = whatif.recalculate(_cells(spark, sf_dir), whatif.changes_frame(spark, {b: given for b in books}), facts_frame(_files(spark, sf_dir)))
     return found.where("NOT (row = 1 AND col = 5)").select("workbook_id", F.col("row").cast("long").alias("row"), "col", "status", "num")
 
 
@@ -86,7 +76,7 @@ def render_grid(spark, sf_dir):
 @CATALOG.query("build_chunks")
 def build_chunks(spark, sf_dir):
     cells = _cells(spark, sf_dir)
-    return documents.chunks(cells, regions.regions(cells).withColumn("version", F.lit(1)))
+    return documents.chunks(cells, regions.regions(cells).withColumn("version", F.lit(1)), facts_frame(_files(spark, sf_dir)))
 
 
 @CATALOG.query("mine_cases", f"SELECT workbook_id, count(*) + 1 AS n FROM ({_NATIONS}) GROUP BY workbook_id")

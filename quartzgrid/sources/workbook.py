@@ -12,6 +12,7 @@ import posixpath
 import re
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
@@ -24,8 +25,16 @@ from pyspark.sql import functions as F
 
 from quartzgrid.formulas import lexer
 
-MAX_PACKAGE, MAX_CSV, MAX_SHEET_CELLS = 512 << 20, 256 << 20, 5_000_000
-CELLS = "path string, sha256 string, sheet string, sheet_ix int, row int, col int, kind string, num double, str string, ts timestamp_ntz, formula string, number_format string, is_percentage boolean, is_currency boolean, merged_range string, array_range string, error string"
+MAX_PACKAGE, MAX_CSV = 512 << 20, 256 << 20
+#: A declared area beyond so many cells, and so many times what is populated, is noted as not true.
+MAX_SHEET_CELLS, MOST_EMPTY = 5_000_000, 4
+#: Rows and columns of a sheet (fixed values of the format): delimited text beyond them is refused.
+MAX_ROWS, MAX_COLUMNS = 1_048_576, 16_384
+#: Cells of an array formula's extent that are marked one by one.
+MAX_ARRAY_CELLS = 100_000
+CELLS = "path string, sha256 string, sheet string, sheet_ix int, row int, col int, kind string, num double, str string, ts timestamp_ntz, formula string, number_format string, is_percentage boolean, is_currency boolean, merged_range string, array_range string, array_master string, error string"
+#: Facts of workbooks that are no cells; `fact` says which kind, and what a kind needs not is null.
+FACTS = "path string, sha256 string, fact string, sheet string, sheet_ix int, name string, ref string, row_lo int, row_hi int, col_lo int, col_hi int, header_rows int, totals_rows int, texts array<string>"
 #: Number formats that need no definition in a file and show dates (fixed values of the format).
 DATE_FORMATS = {14: "m/d/yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0"}
 PLAIN_FORMATS = {1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??", 37: "#,##0 ;(#,##0)", 38: "#,##0 ;[Red](#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;[Red](#,##0.00)", 48: "##0.0E+0", 49: "@"}
@@ -48,6 +57,7 @@ class Cell:
     formula: str | None = None
     number_format: str = "General"
     array_range: str | None = None
+    array_master: str | None = None
 
 
 @dataclass
@@ -55,6 +65,28 @@ class Sheet:
     name: str
     cells: list[Cell] = field(default_factory=list)
     merged: list[str] = field(default_factory=list)
+    dimension: str = ""
+    visibility: str = "visible"
+    is_macro: bool = False
+    objects: list[Any] = field(default_factory=list)
+
+    @property
+    def dimension_is_false(self) -> bool:
+        """Declares far more than it holds."""
+        area = area_of(self.dimension)
+        return area > MAX_SHEET_CELLS and area > MOST_EMPTY * len(self.cells)
+
+
+@dataclass
+class Table:
+    """A table object of a sheet."""
+
+    name: str
+    sheet: str
+    ref: str
+    columns: list[str]
+    header_rows: int = 1
+    totals_rows: int = 0
 
 
 @dataclass
@@ -62,6 +94,8 @@ class Workbook:
     sheets: list[Sheet]
     names: dict[tuple[str | None, str], str] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
+    tables: list[Table] = field(default_factory=list)
+    has_macros: bool = False
 
 
 def parse_xml(data: bytes, start=None, end=None, characters=None) -> None:
@@ -96,6 +130,22 @@ def position(reference: str) -> tuple[int, int]:
     return int(reference[len(letters) :]), n
 
 
+def rectangle(ref: str) -> tuple[int, int, int, int]:
+    """(row_lo, row_hi, col_lo, col_hi) of a cell or of a rectangle, with or without dollar signs."""
+    first, _, last = ref.replace("$", "").partition(":")
+    (r1, c1), (r2, c2) = position(first), position(last or first)
+    return min(r1, r2), max(r1, r2), min(c1, c2), max(c1, c2)
+
+
+def area_of(ref: str) -> int:
+    """Cells of a rectangle; 0 for what is none."""
+    try:
+        r1, r2, c1, c2 = rectangle(ref)
+    except ValueError:
+        return 0
+    return (r2 - r1 + 1) * (c2 - c1 + 1)
+
+
 def serial_date(value: float, epoch_1904: bool = False) -> datetime | None:
     start = datetime(1904, 1, 1) if epoch_1904 else datetime(1899, 12, 30)
     try:
@@ -146,14 +196,14 @@ def read_ooxml(data: bytes) -> Workbook:
     main = package.part("xl/workbook.xml")
     if main is None:
         raise WorkbookError("the package holds no workbook")
-    listed: list[tuple[str, str]] = []
+    listed: list[tuple[str, str, str]] = []
     names: dict[tuple[str | None, str], str] = {}
     state: dict[str, Any] = {"name": None, "epoch": False, "text": ""}
 
     def start(tag: str, attributes: dict[str, str]) -> None:
         a, kind = plain_keys(attributes), local(tag)
         if kind == "sheet":
-            listed.append((a.get("name", ""), a.get("id", "")))
+            listed.append((a.get("name", ""), a.get("id", ""), a.get("state", "visible")))
         elif kind == "workbookPr":
             state["epoch"] = a.get("date1904") in ("1", "true")
         elif kind == "definedName":
@@ -172,17 +222,44 @@ def read_ooxml(data: bytes) -> Workbook:
     parse_xml(main, start, end, characters)
     relations = package.relations("xl/workbook.xml")
     strings, formats = _shared_strings(package), _cell_formats(package)
-    book = Workbook([], names)
-    for name, relation in listed:
+    book = Workbook([], names, has_macros=package.part("xl/vbaProject.bin") is not None or "macroEnabled" in (package.part("[Content_Types].xml") or b"").decode("utf-8", "replace"))
+    for name, relation, visibility in listed:
         part = relations.get(relation, "")
-        if "/worksheets/" in f"/{part}" and (content := package.part(part)):
-            book.sheets.append(scan_sheet(name, content, strings, formats, state["epoch"]))
-        else:
-            book.sheets.append(Sheet(name))
+        content = package.part(part) if "/worksheets/" in f"/{part}" else None
+        if content is None:
+            book.sheets.append(Sheet(name, visibility=visibility, is_macro="/macrosheets/" in f"/{part}" or "/dialogsheets/" in f"/{part}"))
             book.warnings.append(f"sheet {name} is no worksheet")
+            continue
+        sheet = scan_sheet(name, content, strings, formats, state["epoch"])
+        sheet.visibility = visibility
+        if sheet.dimension_is_false:
+            book.warnings.append(f"sheet {name} declares {sheet.dimension}, far more than its cells; that was not believed")
+        book.sheets.append(sheet)
+        for target in sorted(package.relations(part).values()):
+            if "/tables/" in f"/{target}" and (found := package.part(target)):
+                book.tables.append(_table(name, found))
+        from quartzgrid.sources.objects import sheet_objects
+
+        sheet.objects, warnings = sheet_objects(package, part)
+        book.warnings += warnings
     return book
 
 
+def _table(sheet: str, data: bytes) -> Table:
+    table = Table("", sheet, "", [])
+
+    def start(tag: str, attributes: dict[str, str]) -> None:
+        a, kind = plain_keys(attributes), local(tag)
+        if kind == "table":
+            table.name, table.ref = a.get("displayName") or a.get("name", ""), a.get("ref", "")
+            table.header_rows, table.totals_rows = int(a.get("headerRowCount", 1)), int(a.get("totalsRowCount", 0))
+        elif kind == "tableColumn":
+            table.columns.append(a.get("name", ""))
+
+    parse_xml(data, start)
+    return table
+
+
 def _shared_strings(package: Package) -> list[str]:
     data, out, state = package.part("xl/sharedStrings.xml"), [], {"in": False, "skip": 0}
     if not data:
@@ -250,6 +327,8 @@ def scan_sheet(name: str, data: bytes, strings: list[str], formats: list[str], e
             at["field"] = "is"
         elif kind == "mergeCell":
             sheet.merged.append(a.get("ref", ""))
+        elif kind == "dimension":
+            sheet.dimension = a.get("ref", "")
 
     def characters(text: str) -> None:
         if at["cell"] is not None and at["field"]:
@@ -265,12 +344,25 @@ def scan_sheet(name: str, data: bytes, strings: list[str], formats: list[str], e
             formula = _formula(raw, shared, at["row"], at["col"])
             cell_kind, value = saved_value(raw, code, strings, epoch_1904)
             if cell_kind != "empty" or formula is not None:
-                sheet.cells.append(Cell(at["row"], at["col"], cell_kind, value, formula, code, raw["fa"].get("ref") if raw["fa"].get("t") == "array" else None))
+                sheet.cells.append(Cell(at["row"], at["col"], cell_kind, value, formula, code, raw["fa"].get("ref") if raw["fa"].get("t") in ("array", "dataTable") else None))
 
     parse_xml(data, start, end, characters)
+    _mark_arrays(sheet)
     return sheet
 
 
+def _mark_arrays(sheet: Sheet) -> None:
+    """Cells without a formula inside an array formula's extent hold its results: they name the cell that has the formula."""
+    owners: dict[tuple[int, int], str] = {}
+    for cell in sheet.cells:
+        if cell.array_range and 1 < area_of(cell.array_range) <= MAX_ARRAY_CELLS:
+            r1, r2, c1, c2 = rectangle(cell.array_range)
+            owners |= {(r, c): f"{letters(cell.col)}{cell.row}" for r in range(r1, r2 + 1) for c in range(c1, c2 + 1)}
+    for cell in sheet.cells if owners else ():
+        if cell.formula is None and not cell.array_range:
+            cell.array_master = owners.get((cell.row, cell.col))
+
+
 def _formula(raw: dict, shared: dict, row: int, col: int) -> str | None:
     if raw["f"] is None:
         return None
@@ -415,15 +507,19 @@ def read_delimited(data: bytes, name: str) -> Workbook:
         text = data.decode("utf-8-sig")
     except UnicodeDecodeError:
         text = data.decode("cp1252", "replace")
-    head = text[:65536].splitlines()[:20]
+    # What stands in quotes says nothing about the delimiter.
+    head = re.sub(r'"(?:[^"]|"")*"', '""', text[:65536]).splitlines()[:20]
     delimiter = max(",;\t|", key=lambda d: (sum(d in x for x in head), sum(x.count(d) for x in head), -",;\t|".index(d)))
     sheet = Sheet(sheet_name(name))
+    csv.field_size_limit(MAX_CSV)
     for r, fields in enumerate(csv.reader(io.StringIO(text), delimiter=delimiter), 1):
+        if r > MAX_ROWS or len(fields) > MAX_COLUMNS:
+            raise WorkbookError(f"more than {MAX_ROWS} rows or {MAX_COLUMNS} columns")
         for c, value in enumerate(fields, 1):
             kind, typed = typed_field(value, delimiter == ";")
             if kind != "empty":
                 sheet.cells.append(Cell(r, c, kind, typed))
-    return Workbook([sheet])
+    return Workbook([sheet], warnings=["delimited text: no formulas, formats or names"])
 
 
 def typed_field(text: str, comma_decimal: bool) -> tuple[str, Any]:
@@ -449,14 +545,18 @@ def read_workbook(data: bytes, name: str) -> Workbook:
     return read_delimited(data, name)
 
 
+#: What reading a broken file may raise; anything else is a fault of this module.
+UNREADABLE = (WorkbookError, zipfile.BadZipFile, LookupError, ValueError, OverflowError, EOFError, NotImplementedError, RuntimeError, struct.error, csv.Error, zlib.error)
+
+
 # ---- as DataFrames ----------------------------------------------------------------
 
 
 def cells_of(path: str, digest: str, data: bytes) -> Iterator[tuple]:
     try:
         book = read_workbook(data, path)
-    except (WorkbookError, zipfile.BadZipFile, KeyError, ValueError, struct.error) as error:
-        yield (path, digest, *[None] * 14, str(error))
+    except UNREADABLE as error:
+        yield (path, digest, *[None] * 15, str(error))
         return
     for ix, sheet in enumerate(book.sheets):
         masters = {position(m.split(":")[0].replace("$", "")): m for m in sheet.merged if m}
@@ -464,12 +564,69 @@ def cells_of(path: str, digest: str, data: bytes) -> Iterator[tuple]:
             number = float(cell.value) if cell.kind in ("number", "boolean") else None
             text = str(cell.value) if cell.kind in ("text", "error") else None
             when = cell.value if cell.kind == "date" else None
-            yield (path, digest, sheet.name, ix, cell.row, cell.col, cell.kind, number, text, when, cell.formula, cell.number_format, "%" in cell.number_format, bool(CURRENCY.search(cell.number_format)), masters.get((cell.row, cell.col)), cell.array_range, None)
+            yield (path, digest, sheet.name, ix, cell.row, cell.col, cell.kind, number, text, when, cell.formula, cell.number_format, "%" in cell.number_format, bool(CURRENCY.search(cell.number_format)), masters.get((cell.row, cell.col)), cell.array_range, cell.array_master, None)
+
+
+def facts_of(path: str, digest: str, data: bytes) -> Iterator[tuple]:
+    """Rows of FACTS: sheets, names, tables, arrays, merged ranges, objects, warnings, macros. A refused file gives its error as one row."""
+    def row(fact: str, sheet: str | None = None, ix: int | None = None, name: str | None = None, ref: str | None = None, span: tuple = (None,) * 4, heads: int | None = None, totals: int | None = None, texts: list[str] | None = None) -> tuple:
+        return (path, digest, fact, sheet, ix, name, ref, *span, heads, totals, texts)
+
+    try:
+        book = read_workbook(data, path)
+    except UNREADABLE as error:
+        yield row("error", texts=[str(error)])
+        return
+    for ix, sheet in enumerate(book.sheets):
+        used = (max((c.row for c in sheet.cells), default=1), max((c.col for c in sheet.cells), default=1))
+        yield row("macro_sheet" if sheet.is_macro else "sheet", sheet.name, ix, sheet.name, sheet.dimension, (1, used[0], 1, used[1]), texts=[sheet.visibility])
+        for ref in sheet.merged:
+            if area_of(ref):
+                yield row("merged", sheet.name, ix, None, ref, rectangle(ref))
+        for cell in sheet.cells:
+            if cell.array_range and area_of(cell.array_range) > 1:
+                yield row("array", sheet.name, ix, f"{letters(cell.col)}{cell.row}", cell.array_range, rectangle(cell.array_range))
+        for found in sheet.objects:
+            yield row("object", sheet.name, ix, found.key, found.anchor, texts=[found.kind, found.detail, *found.sources])
+    for table in book.tables:
+        yield row("table", table.sheet, None, table.name, table.ref, rectangle(table.ref), table.header_rows, table.totals_rows, table.columns)
+    for (scope, name), target in sorted(book.names.items(), key=lambda x: (x[0][1].lower(), x[0][0] or "")):
+        yield row("name", scope, None, name, target)
+    for warning in book.warnings:
+        yield row("warning", texts=[warning])
+    if book.has_macros:
+        yield row("macros")
+
+
+def facts_frame(files: DataFrame) -> DataFrame:
+    """files(path, sha256, content) -> FACTS."""
+    columns = [c.split()[0] for c in FACTS.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [r for p, d, c in zip(frame["path"], frame["sha256"], frame["content"]) for r in facts_of(p, d, bytes(c))]
+            yield pd.DataFrame(rows, columns=columns).astype({c: "Int32" for c in ("sheet_ix", "row_lo", "row_hi", "col_lo", "col_hi", "header_rows", "totals_rows")})
+
+    return files.select("path", "sha256", "content").mapInPandas(run, FACTS)
+
+
+def workbook_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, sha256, content) of the files below a path; lock files are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).where(~F.col("path").rlike(r"/~\$[^/]*$"))
+    return files.select("path", F.sha2("content", 256).alias("sha256"), "content")
+
+
+def read_facts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    return facts_frame(workbook_files(spark, path, pattern))
 
 
 def read_cells(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """A row for each populated cell of the workbooks below a path; a refused file is one row with its error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).where(~F.col("path").rlike(r"/~\$[^/]*$"))
+    return cells_frame(workbook_files(spark, path, pattern))
+
+
+def cells_frame(files: DataFrame) -> DataFrame:
+    """files(path, sha256, content) -> CELLS."""
     columns = [c.split()[0] for c in CELLS.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -484,7 +641,7 @@ def read_cells(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
                 if rows:
                     yield _typed(rows, columns)
 
-    return files.select("path", F.sha2("content", 256).alias("sha256"), "content").mapInPandas(run, CELLS)
+    return files.select("path", "sha256", "content").mapInPandas(run, CELLS)
 
 
 def _typed(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
