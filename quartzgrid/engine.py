@@ -6,9 +6,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quartzgrid.functions.a1 import overlaps
-from quartzgrid.operators import graph, retrieve
+from quartzgrid.operators import answer, graph, retrieve, store
 
 
 class RequestError(ValueError):
@@ -44,6 +45,9 @@ class SearchRequest:
     depth: int = 0
     vector: list[float] | None = None
     model: str | None = None
+    max_related_nodes: int = graph.MAX_NODES
+    max_bytes: int = graph.MAX_BYTES
+    rerank: bool = False
 
     def __post_init__(self) -> None:
         if not self.query.strip():
@@ -52,6 +56,22 @@ class SearchRequest:
             raise RequestError("top_k must be from 1 to 100")
         if not 0 <= self.depth <= graph.MAX_DEPTH:
             raise RequestError(f"depth must be from 0 to {graph.MAX_DEPTH}")
+        if not 0 <= self.max_related_nodes <= graph.MAX_NODES or not 1 <= self.max_bytes <= graph.MAX_BYTES:
+            raise RequestError(f"at most {graph.MAX_NODES} related nodes and {graph.MAX_BYTES} bytes")
+
+
+#: Hits that a reranker sees, at least.
+RERANK_WINDOW = 50
+
+
+@dataclass(frozen=True)
+class Answer:
+    """hits with score, kind of score, rank, matched fields and related nodes; nodes with depth; gaps; one row of truncation."""
+
+    hits: DataFrame
+    nodes: DataFrame
+    gaps: DataFrame
+    truncation: DataFrame
 
 
 class Engine:
@@ -71,27 +91,44 @@ class Engine:
                 raise RequestError(f"unknown workbooks: {sorted(missing)}", 404)
         return retrieve.active_only(df.where(retrieve.visible(caller.scopes_for(asked))), versions)
 
-    def search(self, request: SearchRequest, caller: Caller) -> tuple[DataFrame, DataFrame]:
-        """(hits, nodes): hits with score, kind of score, rank and matched fields; nodes reached from them, with depth."""
+    def search(self, request: SearchRequest, caller: Caller) -> Answer:
+        """Candidates by words, and by vector if there is one; fused, reranked if asked, and expanded along what their nodes read."""
         held = self._scoped(self.chunks, caller, request.workbook_ids, request.scopes)
         for column, values in (("sheet_name", request.sheet_names), ("chunk_type", request.chunk_types)):
             held = held.where(F.col(column).isin(*values)) if values else held
         fields = {"title": F.col("title"), "content": F.col("content"), "headers": F.array_join("headers", " ")}
         window = retrieve.candidate_window(request.top_k)
         lexical = retrieve.top_k(retrieve.match_count(held, request.query, fields), window, "id").select("id", "score")
-        by_vector = F.lit(False)
+        by_vector, kind = F.lit(False), "lexical"
         if request.vector is not None and request.model:
             near = retrieve.knn(held.where(F.col("embedding_model") == request.model), request.vector, window, "id", "embedding").select("id", "score")
             ranked, kind = retrieve.fuse({"lexical": lexical, "vector": near}, "id"), "rrf"
             by_vector = F.col("vector_rank").isNotNull()
         else:
-            ranked, kind = retrieve.ranked(lexical, "id").withColumnRenamed("rank", "lexical_rank"), "lexical"
-        # The result is bounded by top_k, so ranks over it are cheap.
-        best = F.broadcast(retrieve.top_k(ranked, request.top_k, "id"))
-        hits = held.join(best, "id").withColumn("score_kind", F.lit(kind)).withColumn("matched", retrieve.matched_fields(request.query, fields, by_vector)).drop("embedding")
-        visible = self._scoped(self.structure, caller, request.workbook_ids, request.scopes).select("node_id")
-        edges = self.edges.join(visible.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
-        return hits, graph.expand(hits.select(F.col("node_id").alias("node")), edges, request.depth)
+            ranked = retrieve.ranked(lexical, "id").withColumnRenamed("rank", "lexical_rank")
+        if request.rerank:
+            head = max(request.top_k, RERANK_WINDOW)
+            texts = held.select("id", F.concat_ws("\n", "title", "content").alias("chunk_text"))
+            rescored = ranked.join(texts, "id").withColumn("overlap", retrieve.overlap_ratio(request.query, F.col("chunk_text")))
+            ranked = retrieve.rerank_head(rescored, "id", head, F.col("overlap")).drop("chunk_text", "overlap")
+            best, kind = ranked.orderBy("place").limit(request.top_k), "rerank"
+        else:
+            best = retrieve.top_k(ranked, request.top_k, "id").withColumn("place", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")))
+        # The result is bounded by top_k, so ranks over it are cheap and it may be broadcast.
+        hits = held.join(F.broadcast(best), "id").withColumn("score_kind", F.lit(kind)).withColumn("matched", retrieve.matched_fields(request.query, fields, by_vector)).withColumnRenamed("place", "rank").drop("embedding").cache()
+        visible = self._scoped(self.structure, caller, request.workbook_ids, request.scopes)
+        seeds = [r.node_id for r in hits.select("node_id", "rank").orderBy("rank").collect()]  # at most top_k
+        found = answer.expand(seeds, visible, retrieve.active_only(self.structure, self.versions), request.depth, request.max_related_nodes, request.max_bytes)
+        nodes = found.nodes(visible)
+        return Answer(answer.related_ids(hits, nodes), nodes, found.gap_rows(hits.sparkSession), found.summary(hits.sparkSession))
+
+    def counts(self, caller: Caller) -> DataFrame:
+        """Documents of each table that the caller may see, in active versions."""
+        return store.counts({name: self._scoped(df, caller, None) for name, df in (("chunks", self.chunks), ("structure", self.structure))})
+
+    def get(self, node_id: str, caller: Caller) -> DataFrame:
+        """The node, or no row: whether it isn't there or isn't the caller's to see is not said."""
+        return self._scoped(self.structure, caller, None).where(F.col("node_id") == node_id)
 
     def structure_of(self, workbook_id: str, caller: Caller, node_types: list[str] | None = None, limit: int = 200) -> DataFrame:
         held = self._scoped(self.structure, caller, [workbook_id])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quartzgrid.storage import cut
 
@@ -28,10 +27,12 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
 
 
 def within_budget(nodes: DataFrame, max_nodes: int, id_column: str = "node") -> DataFrame:
-    """Seeds stay; of the others the first `max_nodes` by depth and id: adds kept, and in each row the number dropped."""
-    order = Window.orderBy("depth", id_column)
-    others = nodes.where("depth > 0").withColumn("place", F.row_number().over(order)).withColumn("kept", F.col("place") <= max_nodes).drop("place")
-    return nodes.where("depth = 0").withColumn("kept", F.lit(True)).unionByName(others)
+    """Seeds stay; of the others the first `max_nodes` by depth and id: adds kept, and in each row dropped, the number left out, and reason, null if none was."""
+    others = nodes.where("depth > 0")
+    first = others.orderBy("depth", id_column).limit(max_nodes).select(id_column, F.lit(True).alias("fits"))  # a top-k, not a sort of all
+    total = others.agg(F.greatest(F.count("*") - max_nodes, F.lit(0)).alias("dropped"))
+    marked = nodes.join(F.broadcast(first), id_column, "left").withColumn("kept", (F.col("depth") == 0) | F.coalesce("fits", F.lit(False))).drop("fits")
+    return marked.join(F.broadcast(total)).withColumn("reason", F.when(F.col("dropped") > 0, "max_related_nodes"))
 
 
 def take_by_bytes(sizes: list[tuple[str, int]], max_nodes: int, max_bytes: int) -> tuple[list[str], dict[str, int]]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzgrid.formulas import lexer
-from quartzgrid.formulas.references import Context, Table, analyse
+from quartzgrid.formulas.references import Context, Edge, Table, analyse
 from quartzgrid.sources.objects import SheetObject, object_edges
 from quartzgrid.sources.workbook import letters
 
@@ -94,6 +94,15 @@ def objects(facts: DataFrame) -> DataFrame:
     return of_workbooks(facts).groupBy("workbook_id").applyInPandas(run, OBJECTS)
 
 
+def static_target(target: str, scope: str | None, context: Context) -> tuple[Edge | None, str | None]:
+    """(rectangle, None) of a defined name whose target is one reference, else (None, reason)."""
+    found, gaps = analyse("=" + target.removeprefix("="), replace(context, sheet=scope or context.sheet))
+    alone = [t.kind for t in lexer.tokens(target) if t.kind != lexer.SPACE] == [lexer.REF]
+    if alone and len(found) == 1 and not gaps:
+        return found[0], None
+    return None, gaps[0].reason if gaps else "not a static range"
+
+
 def names(facts: DataFrame) -> DataFrame:
     """Defined names, each with its rectangle if its target is a static one, else with the reason."""
 
@@ -101,11 +110,8 @@ def names(facts: DataFrame) -> DataFrame:
         base, rows = context_of(known), []
         for f in known[known["fact"] == "name"].itertuples():
             scope = f.sheet if isinstance(f.sheet, str) else None
-            found, gaps = analyse("=" + f.ref.removeprefix("="), replace(base, sheet=scope or base.sheet))
-            alone = [t.kind for t in lexer.tokens(f.ref) if t.kind != lexer.SPACE] == [lexer.REF]
-            static = alone and len(found) == 1 and not gaps
-            span = (found[0].sheet, found[0].row_lo, found[0].row_hi, found[0].col_lo, found[0].col_hi) if static else (None,) * 5
-            rows.append((f.workbook_id, f.name, scope, f.ref, static, *span, None if static else gaps[0].reason if gaps else "not a static range"))
+            at, why = static_target(f.ref, scope, base)
+            rows.append((f.workbook_id, f.name, scope, f.ref, at is not None, *(at[:5] if at else (None,) * 5), why))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in NAMES.split(", ")]).astype(_INTS)
 
     return of_workbooks(facts).groupBy("workbook_id").applyInPandas(run, NAMES)

@@ -72,9 +72,9 @@ def clusters(cells: DataFrame, facts: DataFrame) -> DataFrame:
     return found.join(together, keys, "left").withColumn("a1", to_a1(F.struct(*SPAN)))
 
 
-def objects(facts: DataFrame, version: Column) -> DataFrame:
-    """Objects by workbook and version, with what they read; an object without a place sits at A1."""
-    found = model.objects(facts).withColumn("version", version)
+def objects(facts: DataFrame, books: DataFrame) -> DataFrame:
+    """Objects of books(workbook_id, version), with what they read; an object without a place sits at A1."""
+    found = model.objects(facts).join(books, "workbook_id")
     keys = [*BOOK, "sheet", "object_kind", "name", "anchor"]
     return read_by(found, keys).withColumn("anchor", F.coalesce(F.nullif("anchor", F.lit("")), F.lit("A1")))
 
@@ -103,7 +103,6 @@ def structure(cells: DataFrame, regions: DataFrame, facts: DataFrame) -> DataFra
     A node that several kinds would give is given once, by the first of them. Targets of edges on sheets that aren't there get no node.
     """
     books = cells.select(*BOOK).distinct()
-    version = F.col("version")
     known = model.of_workbooks(facts).join(books, "workbook_id")
     here = known.drop("version")  # facts have no version of their own: a workbook's cells say it
     sheet_id = lambda sheet="sheet": _id("sheet", F.col(sheet))
@@ -124,7 +123,7 @@ def structure(cells: DataFrame, regions: DataFrame, facts: DataFrame) -> DataFra
     formulas = with_parents(clusters(cells, here), regions)
     own_kind = F.when(F.col("n_cells") == 1, "formula").otherwise("range")
     parts.append(_node(formulas, own_kind, _id("formula", _at()), F.coalesce("parent_region", sheet_id()), sheet_name=F.col("sheet"), a1_range=F.col("a1"), formula=F.col("first.formula"), display_value=F.when(F.col("n_cells") == 1, F.col("first.display")), references=F.col("references"), gaps=F.col("gaps")))
-    drawn = objects(here, F.lit(None).cast("int")).drop("version").join(books, "workbook_id")
+    drawn = objects(here, books)
     parts.append(_node(drawn, F.col("object_kind"), _id(F.col("object_kind"), F.concat("sheet", F.lit("!"), "name")), sheet_id(), sheet_name=F.col("sheet"), a1_range=F.col("anchor"), references=F.col("references"), gaps=F.col("gaps")))
     heads = with_parents(header_cells(cells, regions).select("*", *(F.col(c).alias(n) for n, c in zip(SPAN, ("row", "row", "col", "col")))), regions)
     cell_a1 = F.concat(column_letter(F.col("col")), F.col("row").cast("string"))
@@ -201,7 +200,7 @@ def object_line(kind: Column, name: Column, at: Column, references: Column, gaps
 
 
 def object_chunks(facts: DataFrame, books: DataFrame) -> DataFrame:
-    found = objects(facts, F.lit(None).cast("int")).drop("version").join(books, "workbook_id")
+    found = objects(facts, books)
     line = object_line(F.col("object_kind"), F.col("name"), qualified(F.col("sheet"), F.col("anchor")), F.col("references"), F.col("gaps"))
     made = _chunk(found, "object", F.concat("sheet", F.lit("!"), "name"), F.col("sheet"), F.col("anchor"), F.concat("object_kind", F.lit(" "), "name", F.lit(" on "), "sheet"), line)
     kinds = found.select(_id("object", F.concat("sheet", F.lit("!"), "name")).alias("node_id"), "object_kind", _id(F.col("object_kind"), F.concat("sheet", F.lit("!"), "name")).alias("own"))

@@ -109,7 +109,11 @@ def expand_depth2(spark, sf_dir):
     return graph.expand(_seeds(spark), _edges(spark, sf_dir), 2)
 
 
-@CATALOG.query("expand_budget", f"{_REACHED} SELECT node, CAST(depth AS INT) AS depth, depth = 0 OR row_number() OVER (PARTITION BY depth = 0 ORDER BY depth, node) <= 50 AS kept FROM reached")
+@CATALOG.query(
+    "expand_budget",
+    f"""{_REACHED}, over AS (SELECT greatest(count(*) - 50, 0) AS dropped FROM reached WHERE depth > 0)
+    SELECT node, CAST(depth AS INT) AS depth, depth = 0 OR row_number() OVER (PARTITION BY depth = 0 ORDER BY depth, node) <= 50 AS kept, dropped, CASE WHEN dropped > 0 THEN 'max_related_nodes' END AS reason FROM reached CROSS JOIN over""",
+)
 def expand_budget(spark, sf_dir):
     return graph.within_budget(graph.expand(_seeds(spark), _edges(spark, sf_dir), 2), 50)
 

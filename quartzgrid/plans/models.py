@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from quartzgrid.catalog import Catalog, table
 from quartzgrid.formulas.references import Edge
-from quartzgrid.operators import documents, model, regions, structure, whatif
+from quartzgrid.operators import documents, model, regions, render, structure, whatif
+from quartzgrid.plans import expected
 from quartzgrid.sources.workbook import cells_frame, facts_frame
 from quartzgrid.sources.write_xlsx import PERCENT, Formula, Styled, table_of, workbook
 
@@ -205,3 +206,54 @@ def formula_functions(spark, sf_dir):
     """Every function of the Tests sheet, evaluated anew. Numbers are rounded to nine places."""
     found = whatif.recalculate(_cells(spark, sf_dir), None, _facts(spark, sf_dir), everything=True).where("sheet = 'Tests'")
     return found.select("workbook_id", "row", "kind", F.round("num", 9).alias("num"), "str")
+
+
+# ---- documents -----------------------------------------------------------------------
+
+
+def _documents(spark, sf_dir):
+    cells = _cells(spark, sf_dir).where("sheet <> 'Tests'")
+    return cells, regions.regions(cells).withColumn("version", F.lit(1)), _facts(spark, sf_dir).where("sheet IS NULL OR sheet <> 'Tests'")
+
+
+def _without_book(name: str):
+    return F.regexp_replace(name, r"^[^:]*:v1:", "").alias(name)
+
+
+_NODE = {"node_id": "VARCHAR", "node_type": "VARCHAR", "a1_range": "VARCHAR", "parent_id": "VARCHAR", "formula": "VARCHAR", "display_value": "VARCHAR", "table_name": "VARCHAR", "column_name": "VARCHAR", "reads": "VARCHAR", "gaps": "VARCHAR", "n_children": "INTEGER"}
+_CHUNK = {"chunk_type": "VARCHAR", "node_id": "VARCHAR", "a1_range": "VARCHAR", "title": "VARCHAR", "content": "VARCHAR"}
+
+
+@CATALOG.query("build_structure", _values(_NODE, expected.NODES))
+def build_structure(spark, sf_dir):
+    nodes = structure.structure(*_documents(spark, sf_dir))
+    reads = F.array_join(F.transform("references", lambda r: F.concat(r["sheet"], F.lit("!"), r["a1"], F.lit(" "), r["kind"])), ", ").alias("reads")
+    gaps = F.array_join(F.transform("gaps", lambda g: F.concat(g["text"], F.lit(" "), g["reason"])), ", ").alias("gaps")
+    own = F.when(F.col("node_type") == "workbook", "workbook").otherwise(F.regexp_replace("node_id", r"^[^:]*:v1:", "")).alias("node_id")
+    parent = F.when(F.contains("parent_id", F.lit(":workbook:")), "workbook").otherwise(F.regexp_replace("parent_id", r"^[^:]*:v1:", "")).alias("parent_id")
+    return nodes.select("workbook_id", own, "node_type", "a1_range", parent, "formula", "display_value", "table_name", "column_name", reads, gaps, F.size("child_ids").alias("n_children"))
+
+
+@CATALOG.query("build_chunks", _values(_CHUNK, expected.CHUNKS))
+def build_chunks(spark, sf_dir):
+    """The chunks of each workbook but the one of the workbook itself, whose text names it."""
+    found = documents.chunks(*_documents(spark, sf_dir)).where("chunk_type <> 'workbook'")
+    return found.select("workbook_id", "chunk_type", _without_book("node_id"), "a1_range", "title", "content")
+
+
+@CATALOG.query("render_workbook", _values({"detail": "VARCHAR", "complete": "BOOLEAN", "line": "INTEGER", "text": "VARCHAR"}, expected.LINES))
+def render_workbook(spark, sf_dir):
+    """A small budget: schemas without rows. Line by line, without the first, which names the workbook."""
+    cells, _, facts = _documents(spark, sf_dir)
+    shown = render.workbook_text(cells, facts, 620)
+    lines = shown.select("workbook_id", "detail", "complete", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    return lines.where("line > 0")
+
+
+@CATALOG.query("render_clipped", _values({"detail": "VARCHAR", "complete": "BOOLEAN", "n_lines": "INTEGER", "last": "VARCHAR"}, [("clipped", False, 4, "(Rendering clipped to the token budget.)")]))
+def render_clipped(spark, sf_dir):
+    """A budget that not even the overview fits: cut at a line's end."""
+    cells, _, facts = _documents(spark, sf_dir)
+    shown = render.workbook_text(cells, facts, 60)
+    lines = F.split("text", "\n", -1)
+    return shown.select("workbook_id", "detail", "complete", F.size(lines).alias("n_lines"), lines[F.size(lines) - 2].alias("last"))

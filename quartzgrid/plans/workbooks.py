@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quartzgrid.catalog import Catalog, table
 from quartzgrid.functions.embed import hash_embedder
-from quartzgrid.operators import documents, regions, render, structure, whatif
+from quartzgrid.operators import regions, render, structure, whatif
 from quartzgrid.sources.workbook import cells_frame, facts_frame
 from quartzgrid.sources.write_xlsx import workbook
 from quartzgrid.streaming import events as streams
@@ -68,17 +68,11 @@ def calc_graph_eval(spark, sf_dir):
     return found.where("NOT (row = 1 AND col = 5)").select("workbook_id", F.col("row").cast("long").alias("row"), "col", "status", "num")
 
 
-@CATALOG.query("render_grid")
+@CATALOG.query("render_grid", f"SELECT workbook_id, 'Data' AS sheet, 5 AS rung, '1 A:Nation | B:Key | C:Twice' || chr(10) || '… ' || (count(*) + 1) || ' rows omitted …' AS text FROM ({_NATIONS}) GROUP BY workbook_id")
 def render_grid(spark, sf_dir):
     return render.render(_cells(spark, sf_dir), ["workbook_id", "sheet"], 60)
 
 
-@CATALOG.query("build_chunks")
-def build_chunks(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
-    return documents.chunks(cells, regions.regions(cells).withColumn("version", F.lit(1)), facts_frame(_files(spark, sf_dir)))
-
-
 @CATALOG.query("mine_cases", f"SELECT workbook_id, count(*) + 1 AS n FROM ({_NATIONS}) GROUP BY workbook_id")
 def mine_cases(spark, sf_dir):
     found = render.mine_cases(_cells(spark, sf_dir).where("col < 3"), 10_000)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes up to which a side of a join is broadcast; a larger side is shuffled.
 BROADCAST_BYTES = 16 << 20
@@ -79,6 +80,11 @@ def place_of(df: DataFrame, column: str) -> str:
     return f"c{found[0]}"
 
 
+def picked(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """new name -> column, whatever other columns are called."""
+    return numbered(df).select(*(F.col(place_of(df, old)).alias(new) for new, old in names.items()))
+
+
 def free_name(columns: list[str], wanted: str) -> str:
     """`wanted`, with underscores after it until no column has that name."""
     taken = {c.lower() for c in columns}

@@ -103,14 +103,30 @@ def test_engine(spark):
         [("c1", "wb", "wb:v1", "n1", "S", "region", "Revenue", "north revenue", ["Region"], [1.0, 0.0], "m", ["finance"]), ("c2", "wb", "wb:v1", "n2", "S", "region", "Staff", "people", ["Name"], [0.0, 1.0], "m", ["hr"]), ("c3", "wb", "wb:v2", "n3", "S", "region", "Revenue", "stale", [], [1.0, 0.0], "m", ["finance"])],
         "id string, workbook_id string, version_key string, node_id string, sheet_name string, chunk_type string, title string, content string, headers array<string>, embedding array<double>, embedding_model string, acl_scope array<string>",
     )
-    nodes = spark.createDataFrame([(f"n{k}", "wb", "wb:v1", "S", k, k + 2, 1, 3, "region", [s]) for k, s in ((1, "finance"), (2, "hr"), (4, "finance"))], "node_id string, workbook_id string, version_key string, sheet_name string, row_lo int, row_hi int, col_lo int, col_hi int, node_type string, acl_scope array<string>")
+    reference = "array<struct<target_node_id:string,sheet:string,a1:string,kind:string>>"
+    reads = {"n1": [("n2", "S", "A2", "cell"), ("n4", "S", "A4", "cell"), ("n9", "S", "A9", "cell")]}
+    nodes = spark.createDataFrame(
+        [(f"n{k}", "wb", "wb:v1", "S", k, k + 2, 1, 3, "region", f"A{k}", None, None, None, None, None, reads.get(f"n{k}", []), [("INDIRECT", "indirect")] if k == 4 else [], [s]) for k, s in ((1, "finance"), (2, "hr"), (4, "finance"))],
+        f"node_id string, workbook_id string, version_key string, sheet_name string, row_lo int, row_hi int, col_lo int, col_hi int, node_type string, a1_range string, display_value string, formula string, table_name string, column_name string, named_range string, references {reference}, gaps array<struct<text:string,reason:string>>, acl_scope array<string>",
+    )
     edges = spark.createDataFrame([("n1", "n2", "S", 2, 2, 1, 1), ("n1", "n4", "S", 4, 4, 1, 1)], "src string, dst string, sheet_name string, row_lo int, row_hi int, col_lo int, col_hi int")
     engine = Engine(chunks, nodes, edges, spark.createDataFrame([("wb", 1)], "workbook_id string, active_version int"))
     caller = Caller(frozenset(["finance"]))
-    hits, reached = engine.search(SearchRequest("revenue people", depth=1), caller)
-    assert [r.id for r in hits.collect()] == ["c1"] and {(r.node, r.depth) for r in reached.collect()} == {("n1", 0), ("n4", 1)}
-    hits, _ = engine.search(SearchRequest("nothing alike", vector=[1.0, 0.1], model="m"), caller)
+    found = engine.search(SearchRequest("revenue people", depth=1), caller)
+    assert [(r.id, r["rank"], r.related_node_ids) for r in found.hits.collect()] == [("c1", 1, ["n4"])] and {(r.node_id, r.depth) for r in found.nodes.collect()} == {("n1", 0), ("n4", 1)}
+    assert sorted((r.text, r.reason) for r in found.gaps.collect()) == [("INDIRECT", "indirect"), ("n9", "malformed")]
+    cut = found.truncation.first()
+    assert (cut.truncated, cut.dropped_nodes, cut.denied_nodes) == (False, 0, 1) and cut.bytes_returned > 100
+    few = engine.search(SearchRequest("revenue people", depth=1, max_related_nodes=0), caller).truncation.first()
+    assert (few.reason, few.dropped_nodes) == ("max_related_nodes", 1)
+    short = engine.search(SearchRequest("revenue people", max_bytes=10), caller)
+    assert short.nodes.count() == 0 and short.truncation.first().reason == "max_payload_bytes"
+    again = engine.search(SearchRequest("north people", rerank=True), caller).hits.first()
+    assert (again.id, again.score, again.score_kind) == ("c1", 0.5, "rerank")
+    hits = engine.search(SearchRequest("nothing alike", vector=[1.0, 0.1], model="m"), caller).hits
     assert [(r.id, r.matched) for r in hits.collect()] == [("c1", ["embedding"])]
+    assert {r.index_name: r.n for r in engine.counts(caller).collect()} == {"chunks": 1, "structure": 2}
+    assert engine.get("n2", caller).count() == 0 and engine.get("n1", caller).count() == 1
     assert [r.node_id for r in engine.range("wb", "S", (3, 4, 1, 1), caller).collect()] == ["n1", "n4"]
     assert [r.node_id for r in engine.dependents("wb", "S", (4, 9, 1, 2), caller).collect()] == ["n1"]
     for bad in (lambda: SearchRequest(" "), lambda: engine.range("wb", "S", (4, 3, 1, 1), caller), lambda: engine.structure_of("no", caller), lambda: caller.scopes_for(["hr"])):
