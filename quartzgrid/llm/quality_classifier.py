@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzgrid.llm.common import WordTable, text_of
+from quartzgrid.storage import picked
 
 #: Buckets of hashed words, factors of a feature, and rows of the bounded training sample.
 BUCKETS, FACTORS, SAMPLE_ROWS = 1 << 13, 8, 8000
@@ -120,15 +121,20 @@ def held_out(id_column: str = "doc_id"):
 
 
 def _described(documents: DataFrame, id_column: str, text_column: str, chars_column: str) -> DataFrame:
-    declared = F.col(chars_column).cast("long") if chars_column in documents.columns else F.lit(None).cast("long")
-    return documents.select(F.col(id_column).cast("long").alias("id"), text_of(F.col(text_column)).alias("text"), declared.alias("declared"))
+    names = {"id": id_column, "text": text_column} | ({"declared": chars_column} if chars_column in documents.columns else {})
+    read = picked(documents, names)
+    declared = F.col("declared").try_cast("long") if "declared" in read.columns else F.lit(None).cast("long")
+    return read.select(F.col("id").cast("long").alias("id"), text_of(F.col("text")).alias("text"), declared.alias("declared"))
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", id_column: str = "doc_id", text_column: str = "text", chars_column: str = "n_chars", sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> Machine:
     """Learns from at most `sample_rows` labelled documents outside the held-out fold, the same ones on each run.
 
-    Rows with a null id or label are left out; of several labels for a document the smallest counts. Without labelled
-    documents, or with labels of one kind only, the scores are that kind's smoothed share for all.
+    The sample is the rows of smallest hash of (id, seed), so it doesn't depend on order. Rows with a null id or label are
+    left out; of several labels for a document the smallest counts; of repeated documents, or of others with an equal id,
+    one is learned from. Null and empty texts are learned from by their statistics, very long ones whole. Without
+    labelled documents, with empty tables, or with labels of one kind only, the scores are that kind's smoothed share for
+    all. Columns other than the named ones are not read, whatever their names.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column)).groupBy(F.col(id_column).cast("long").alias("id")).agg(F.min(F.col(label)).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows)
@@ -206,7 +212,11 @@ def _scores(texts: list[str | None], declared: list[int | None], features: Featu
 
 
 def keep_good(documents: DataFrame, machine: Machine, threshold: float = 0.3, text_column: str = "text", chars_column: str = "n_chars") -> DataFrame:
-    """The rows, whole and with all their columns, that score at least `threshold`. Needs no join and no shuffle."""
+    """The rows, whole and with all their columns, that score at least `threshold`. Needs no join and no shuffle.
+
+    Rows with null ids are judged like others; null and empty texts by their statistics; repeated rows stay or go alike,
+    each by itself. Very long texts are scored whole. An empty table stays empty. Other columns may have any name.
+    """
     shared = documents.sparkSession.sparkContext.broadcast((machine.bias, machine.weights, machine.factors))
     has_declared = chars_column in documents.columns
 
@@ -214,7 +224,7 @@ def keep_good(documents: DataFrame, machine: Machine, threshold: float = 0.3, te
         features = Features()
         for batch in batches:
             if batch.num_rows:
-                declared = batch[chars_column].to_pylist() if has_declared else [None] * batch.num_rows
+                declared = [x if isinstance(x, int) else None for x in batch[chars_column].to_pylist()] if has_declared else [None] * batch.num_rows
                 yield batch.filter(pa.array(_scores(batch[text_column].to_pylist(), declared, features, Machine(*shared.value)) >= threshold))
 
     return documents.mapInArrow(kept, documents.schema)
