@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MAX_IMPACT = 20
 
@@ -32,7 +33,10 @@ def change_counts(changed: DataFrame, by: list[str]) -> DataFrame:
 def impact(changed: DataFrame, readers: DataFrame, key: str, reader: str, cap: int = MAX_IMPACT) -> DataFrame:
     """(key, n_readers, readers): all readers counted, the first `cap` in order named."""
     distinct = changed.select(key).distinct().join(readers.select(key, reader).distinct(), key)
-    return distinct.groupBy(key).agg(F.count("*").alias("n_readers"), F.slice(F.array_sort(F.collect_list(reader)), 1, cap).alias("readers"))
+    counts = distinct.groupBy(key).agg(F.count("*").alias("n_readers"))
+    # Ranked before they are collected: a task keeps `cap` readers of a key, however many there are.
+    few = distinct.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(reader))).where(F.col("place") <= cap)
+    return counts.join(few.groupBy(key).agg(F.array_sort(F.collect_list(reader)).alias("readers")), key)
 
 
 def names_diff(old: DataFrame, new: DataFrame, name: str, target: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quartzgrid.functions.a1 import overlaps
 
-#: A span that would fall into more cells of the grid than this is joined apart from the others.
+#: A span that would fall into more cells of a level than this belongs to a wider one.
 WIDE = 64
 
 
@@ -20,33 +20,40 @@ def range_query(spans: DataFrame, sheet: Column, row_lo: int, row_hi: int, col_l
 def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width: int, keys: list[str] | None = None) -> DataFrame:
     """All pairs whose integer intervals share a point (and whose `keys` are equal), each once.
 
-    Both sides are dealt out over cells of `width`; a pair is kept in the cell where the later of the two begins, so no
-    pair comes twice. Spans over more than WIDE cells would be copied too often: on each side they are cut into pieces of
-    ever wider cells (width times a power of WIDE), and levels are joined with each other. Null or inverted spans meet nothing.
+    Cells of level n are `width` times WIDE to the power of n. A span's own level is the first at which it lies in WIDE cells at
+    most; it is dealt out over its cells of that level and of the wider ones that occur. A pair meets at the wider of its
+    two levels, in the cell where the later of the two begins, so no pair comes twice and no span is copied more than
+    WIDE times and two or three times a further level. Null or inverted spans meet nothing.
     """
     keys = keys or []
 
     def sound(df: DataFrame, span: tuple[str, str], side: str) -> DataFrame:
         low, high = (F.col(c).cast("long") for c in span)
-        return df.withColumns({f"__{side}lo": low, f"__{side}hi": high}).where(F.col(f"__{side}lo") <= F.col(f"__{side}hi"))
+        held = df.withColumns({f"__{side}lo": low, f"__{side}hi": high}).where(F.col(f"__{side}lo") <= F.col(f"__{side}hi"))
+        cells = (F.col(f"__{side}hi").cast("double") - F.col(f"__{side}lo").cast("double")) / width + 1
+        return held.withColumn(f"__{side}level", F.greatest(F.lit(0), F.ceil(F.log(float(WIDE), cells) - 1)).cast("int"))
 
     a, b = sound(left, left_span, "a"), sound(right, right_span, "b")
-    narrow = lambda side: F.floor(F.col(f"__{side}hi") / width) - F.floor(F.col(f"__{side}lo") / width) < WIDE
-    parts = [_dealt(a.where(narrow("a")), b.where(narrow("b")), width, keys)]
-    coarse = width * WIDE * WIDE
-    parts.append(_dealt(a.where(~narrow("a")), b, coarse, keys))
-    parts.append(_dealt(a.where(narrow("a")), b.where(~narrow("b")), coarse, keys))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.drop("__alo", "__ahi", "__blo", "__bhi")
-
-
-def _dealt(a: DataFrame, b: DataFrame, width: int, keys: list[str]) -> DataFrame:
-    cells = lambda side: F.explode(F.sequence(F.floor(F.col(f"__{side}lo") / width).cast("long"), F.floor(F.col(f"__{side}hi") / width).cast("long")))
-    met = a.withColumn("__cell", cells("a")).join(b.withColumn("__cell", cells("b")), [*keys, "__cell"])
-    first = F.floor(F.greatest("__alo", "__blo") / width) == F.col("__cell")
-    return met.where(overlaps(F.col("__alo"), F.col("__ahi"), F.col("__blo"), F.col("__bhi")) & first).drop("__cell")
+    top = max(df.agg(F.max(f"__{side}level")).first()[0] or 0 for df, side in ((a, "a"), (b, "b")))
+
+    def dealt(df: DataFrame, side: str) -> DataFrame:
+        each = df.withColumn("__level", F.explode(F.sequence(F.col(f"__{side}level"), F.lit(top))))
+        cell = lambda end: F.floor(F.col(f"__{side}{end}") / _cell_width(width, top)).cast("long")
+        return each.withColumn("__cell", F.explode(F.sequence(cell("lo"), cell("hi"))))
+
+    met = dealt(a, "a").join(dealt(b, "b"), [*keys, "__level", "__cell"])
+    own = F.col("__level") == F.greatest("__alevel", "__blevel")
+    first = F.floor(F.greatest("__alo", "__blo") / _cell_width(width, top)) == F.col("__cell")
+    out = met.where(own & overlaps(F.col("__alo"), F.col("__ahi"), F.col("__blo"), F.col("__bhi")) & first)
+    return out.drop("__alo", "__ahi", "__blo", "__bhi", "__alevel", "__blevel", "__level", "__cell")
+
+
+def _cell_width(width: int, top: int) -> Column:
+    """Of the row's level."""
+    out = F.lit(width)
+    for level in range(1, top + 1):
+        out = F.when(F.col("__level") == level, F.lit(width * WIDE**level)).otherwise(out)
+    return out.cast("long")
 
 
 def first_match(pairs: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -188,9 +188,14 @@ def eval_metrics(spark, sf_dir):
     from pyspark.sql.window import Window
 
     documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    # The question's first words by which a document is found: an equi-join on its first line of 60 characters, then the exact test.
-    needles = items.select(F.col("item_id").alias("case_id"), F.substring("text", 1, 60).alias("needle"))
-    found = documents.select("doc_id", "text", "n_chars").join(F.broadcast(needles), F.contains(F.col("text"), F.col("needle"))).select("case_id", F.col("doc_id").alias("expected"), "n_chars")
+    # An item's first 60 characters are its question, as the survey has it. A text that holds them holds their longest inner word
+    # as a word of its own: an equi-join on that word (on an empty one, if there is none), then the exact test.
+    needles = items.select(F.col("item_id").alias("case_id"), F.substring("text", 1, 60).alias("needle")).withColumn("inner", F.split("needle", " ", -1))
+    longest = F.aggregate(F.slice("inner", F.lit(2), F.greatest(F.size("inner") - 2, F.lit(0))), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    words = F.explode(F.array_distinct(F.concat(F.split("text", " ", -1), F.array(F.lit(""))))).alias("word")
+    near = documents.select("doc_id", words).join(needles.select("case_id", longest.alias("word")), "word").select("doc_id", "case_id").distinct()
+    texts = documents.select("doc_id", "text", "n_chars").join(near, "doc_id").join(needles.select("case_id", "needle"), "case_id")
+    found = texts.where(F.contains("text", F.col("needle"))).select("case_id", F.col("doc_id").alias("expected"), "n_chars")
     rank = F.row_number().over(Window.partitionBy("case_id").orderBy(F.col("n_chars").desc(), "expected"))
     hits = found.withColumn("rank", rank).where("expected % 3 <> 1 OR rank > 1")
     out = evaluate.metrics(evaluate.case_results(found.select("case_id", "expected"), hits, [1, 3]), [1, 3])

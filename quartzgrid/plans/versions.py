@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quartzgrid.catalog import Catalog, table
-from quartzgrid.operators import calc, diff, formulas, store
+from quartzgrid.operators import calc, diff, formulas, profile, store
 
 CATALOG = Catalog()
 
@@ -128,8 +128,10 @@ def check_mismatch(spark, sf_dir):
 
 @CATALOG.query("pctl_nearest_rank", "SELECT l_returnflag, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95, quantile_disc(l_extendedprice, 0.99) AS p99, round(avg(l_extendedprice), 6) AS mean FROM lineitem GROUP BY l_returnflag")
 def pctl_nearest_rank(spark, sf_dir):
-    part = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY l_extendedprice)")
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(part(0.5).alias("p50"), part(0.95).alias("p95"), part(0.99).alias("p99"), F.round(F.avg("l_extendedprice"), 6).alias("mean"))
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", "l_orderkey", "l_linenumber")
+    means = rows.groupBy("l_returnflag").agg(F.round(F.avg("l_extendedprice"), 6).alias("mean"))
+    ranks = profile.nearest_ranks(rows, "l_returnflag", "l_extendedprice", ["l_orderkey", "l_linenumber"], {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return ranks.join(means, "l_returnflag")
 
 
 @CATALOG.query("run_gc", "SELECT c_custkey, c_nationkey FROM customer WHERE NOT (c_nationkey = 3 AND c_custkey % 4 <> 1)")
