@@ -1,11 +1,13 @@
 """Substring dedup: words covered by a window of 50 words that starts in an earlier document too are removed.
 
 First pass: each window stands for the least hash of its grams (runs of GRAM words), so neighbouring windows share one
-key, and equal windows have equal keys. Each partition counts its documents' keys in a count-min sketch of fixed size;
-the sketches are merged by segments. An estimate is never below the true count, so no repeated window is lost.
-Second pass: only runs of windows whose key is estimated to occur twice go on. They are grouped exactly, by key and
-window hash (128 bits together), and the least document of each group keeps its window.
-Copies within a batch are settled before the exchange, which thus carries one row for a batch and passage.
+key, and equal windows have equal keys. Each task counts its documents' keys in a count-min sketch; the sketches are
+merged by segments, in streams, so that a segment takes the same memory whatever their number. An estimate is never
+below the true count, so no repeated window is lost.
+Second pass: only runs of windows whose key is estimated to occur twice go on. They are grouped by key and window hash,
+128 bits together that stand for the words (the words of a group are not compared once more), and the least document of
+each group keeps its window. Copies within a batch are settled before the exchange, which thus carries one row for a
+batch and passage; beyond it a key's rows come in the order of ids, and only the distinct windows of one key are held.
 """
 
 from __future__ import annotations
@@ -14,18 +16,20 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzgrid.llm.common import Powers, mixed, rolling, text_of, word_hashes, words_of
+from quartzgrid.storage import picked
 
 WINDOW, GRAM = 50, 16
-#: Two rows of 2**CELL_BITS cells. What the driver gets and sends to all is one bit a cell: 16 MB at any input size.
-#: Beyond about 10**8 distinct keys the sketch fills and lets more windows pass; results stay exact.
-CELL_BITS, SEGMENT_BITS = 26, 16
-SEGMENTS = 1 << (CELL_BITS - SEGMENT_BITS)
+#: Two rows of cells, eight or more for each key as far as the texts' bytes tell, between these powers of two. What the
+#: driver gets and sends to all is one bit a cell, 64 MB at most. Beyond about 3 * 10**8 distinct keys (some 50 GB of
+#: text) the largest sketch fills and lets more windows pass; results stay exact.
+LEAST_BITS, MOST_BITS, SEGMENT_BITS = 22, 28, 16
+#: A key stands for about so many bytes of text.
+KEY_BYTES = 100
 #: Words hashed at once, windows in a row at most, keys a task counts before it writes its cells.
 CHUNK_WORDS, RUN, TASK_KEYS = 500_000, 64, 4_000_000
 SECOND = 0xD6E8FEB86659FD93
@@ -40,13 +44,14 @@ def dedup_passages(documents: DataFrame, window: int = WINDOW, id_column: str =
     don't remove each other's words. Very long texts are taken whole; an empty table gives no rows; other columns are
     not read.
     """
-    docs = documents.select(F.col(id_column).cast("long").alias("id"), text_of(F.col(text_column)).alias("text"))
+    docs = picked(documents, {"id": id_column, "text": text_column}).select(F.col("id").cast("long").alias("id"), text_of(F.col("text")).alias("text"))
     gram = min(GRAM, window)
     keyed = docs.where("id IS NOT NULL").select("id", F.xxhash64("text").alias("version"), "text")
-    sketch = _merged_sketch(keyed, window, gram)
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sketch = _merged_sketch(keyed, window, gram, min(MOST_BITS, max(LEAST_BITS, (8 * size // KEY_BYTES).bit_length())))
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     runs = keyed.mapInArrow(_estimated_repeated(shared, window, gram), "key long, id long, version long, start int, hashes binary")
-    ranges = runs.repartition("key").sortWithinPartitions("key").mapInArrow(_settled, "id long, version long, start int, n int")
+    ranges = runs.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_settled, "id long, version long, start int, n int")
     removed = ranges.groupBy("id", "version").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
     joined = docs.withColumn("version", F.xxhash64("text")).join(removed, ["id", "version"], "left").select("id", "text", "starts", "counts")
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
@@ -97,12 +102,12 @@ class _Windows:
         return np.repeat(np.array(owners), counts), start, least[at], own
 
 
-def _cells(keys: np.ndarray) -> list[np.ndarray]:
-    shift = np.uint64(64 - CELL_BITS)
+def _cells(keys: np.ndarray, cell_bits: int) -> list[np.ndarray]:
+    shift = np.uint64(64 - cell_bits)
     return [mixed(keys) >> shift, mixed(keys * np.uint64(SECOND)) >> shift]
 
 
-def _merged_sketch(docs: DataFrame, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def _merged_sketch(docs: DataFrame, window: int, gram: int, cell_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two bit rows: whether a cell's merged count is two or more."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,39 +122,53 @@ def _merged_sketch(docs: DataFrame, window: int, gram: int) -> tuple[np.ndarray,
                 waiting.append(pairs[1][np.append(True, ~again)])  # once for a document
                 n += len(waiting[-1])
                 if n >= TASK_KEYS:
-                    yield _task_cells(waiting)
+                    yield _task_cells(waiting, cell_bits)
                     waiting, n = [], 0
         if n:
-            yield _task_cells(waiting)
+            yield _task_cells(waiting, cell_bits)
 
-    merged = docs.mapInArrow(counted, "segment int, once binary, more binary").groupBy("segment").applyInPandas(_merged_segment, "segment int, bits binary")
-    bits = np.zeros((2, SEGMENTS, 1 << SEGMENT_BITS >> 3), np.uint8)
-    for row in merged.toLocalIterator():  # at most 2 * SEGMENTS rows of 8 KB
-        bits[row.segment // SEGMENTS, row.segment % SEGMENTS] = np.frombuffer(row.bits, np.uint8)
+    merged = docs.mapInArrow(counted, "segment int, once binary, more binary").repartition("segment").sortWithinPartitions("segment").mapInArrow(_merged_segments, "segment int, bits binary")
+    segments = 1 << (cell_bits - SEGMENT_BITS)
+    bits = np.zeros((2, segments, 1 << SEGMENT_BITS >> 3), np.uint8)
+    for row in merged.toLocalIterator():  # at most 2 * segments rows of 8 KB
+        bits[row.segment // segments, row.segment % segments] = np.frombuffer(row.bits, np.uint8)
     return bits[0].ravel(), bits[1].ravel()
 
 
-def _task_cells(keys: list[np.ndarray]) -> pa.RecordBatch:
+def _task_cells(keys: list[np.ndarray], cell_bits: int) -> pa.RecordBatch:
     segments, once, more = [], [], []
-    for row, cells in enumerate(_cells(np.concatenate(keys))):
+    n = 1 << (cell_bits - SEGMENT_BITS)
+    for row, cells in enumerate(_cells(np.concatenate(keys), cell_bits)):
         cells, counts = np.unique(cells, return_counts=True)
         segment, local, twice = (cells >> np.uint64(SEGMENT_BITS)).astype(np.int64), cells.astype(np.uint16), counts > 1
-        bounds = np.searchsorted(segment, np.arange(SEGMENTS + 1))
+        bounds = np.searchsorted(segment, np.arange(n + 1))
         for k in np.flatnonzero(np.diff(bounds)):
             part = slice(bounds[k], bounds[k + 1])
-            segments.append(row * SEGMENTS + k)
+            segments.append(row * n + k)
             once.append(local[part][~twice[part]].tobytes())
             more.append(local[part][twice[part]].tobytes())
     return pa.RecordBatch.from_arrays([pa.array(segments, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["segment", "once", "more"])
 
 
-def _merged_segment(rows: pd.DataFrame) -> pd.DataFrame:
-    counts = np.zeros(1 << SEGMENT_BITS, np.uint8)
-    for once, more in zip(rows["once"], rows["more"]):
-        at = np.frombuffer(once, np.uint16)
-        counts[at] = np.minimum(counts[at] + 1, 2)
-        counts[np.frombuffer(more, np.uint16)] = 2
-    return pd.DataFrame({"segment": rows["segment"].iloc[:1], "bits": [np.packbits(counts >= 2).tobytes()]})
+def _merged_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by segment -> one row a segment, counted up to two in an array of fixed size."""
+    segment, counts = None, np.zeros(1 << SEGMENT_BITS, np.uint8)
+
+    def merged() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(counts >= 2).tobytes()], pa.binary())], names=["segment", "bits"])
+
+    for batch in batches:
+        for number, once, more in zip(batch["segment"].to_pylist(), batch["once"], batch["more"]):
+            if number != segment:
+                if segment is not None:
+                    yield merged()
+                segment = number
+                counts[:] = 0
+            at = np.frombuffer(once.as_buffer(), np.uint16)
+            counts[at] = np.minimum(counts[at] + 1, 2)
+            counts[np.frombuffer(more.as_buffer(), np.uint16)] = 2
+    if segment is not None:
+        yield merged()
 
 
 def _estimated_repeated(shared, window: int, gram: int):
@@ -158,7 +177,7 @@ def _estimated_repeated(shared, window: int, gram: int):
 
         def repeated(keys: np.ndarray) -> np.ndarray:
             out = np.ones(len(keys), bool)
-            for row, cells in zip(bits, _cells(keys)):
+            for row, cells in zip(bits, _cells(keys, (8 * len(bits[0])).bit_length() - 1)):
                 out &= (row[cells >> np.uint64(3)] >> (7 - (cells & np.uint64(7))).astype(np.uint8)) & 1 == 1
             return out
 
@@ -201,7 +220,7 @@ def _settled_here(found: list[tuple[int, int, int, bytes]], ids: np.ndarray, ver
                 ranges.append([start, n])
     for owner, ranges in done.items():
         for start, n in ranges:
-            keys.append(int(versions[owner]) & (1 << 64) - 1)
+            keys.append((int(versions[owner]) ^ int(ids[owner]) * SECOND) & (1 << 64) - 1)  # anywhere, but not all copies of a text in one place
             owners.append(owner)
             starts.append(start)
             data.append(b"R" + n.to_bytes(4, "little"))
@@ -211,10 +230,15 @@ def _settled_here(found: list[tuple[int, int, int, bytes]], ids: np.ndarray, ver
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key -> ranges of windows whose sequence starts in a smaller document."""
-    for batch in _by_whole_keys(batches):
-        data = batch["hashes"]
-        sizes = np.array([len(x) for x in data.to_pylist()], dtype=np.int64)
+    """Rows sorted by key and id -> ranges of windows whose sequence starts in a smaller document.
+
+    Of the rows before a batch only the distinct windows of its first key are known, with their least ids.
+    """
+    known_key, known_own, known_ids = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.diff(np.frombuffer(batch["hashes"].buffers()[1], np.int32)[batch["hashes"].offset : batch["hashes"].offset + batch.num_rows + 1])
         ready = sizes % 8 == 5
         if ready.any():
             part = batch.filter(pa.array(ready))
@@ -224,13 +248,21 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         part = batch.filter(pa.array(~ready))
         counts = sizes[~ready] // 8
-        key, ids = (np.repeat(part[c].to_numpy(zero_copy_only=False), counts) for c in ("key", "id"))
-        own = np.frombuffer(b"".join(part["hashes"].to_pylist()), np.uint64)
+        keys, all_ids = (part[c].to_numpy(zero_copy_only=False) for c in ("key", "id"))
+        if keys[0] != known_key:
+            known_own, known_ids = known_own[:0], known_ids[:0]
+        old = len(known_own)
+        key = np.concatenate([np.full(old, keys[0]), np.repeat(keys, counts)])
+        ids = np.concatenate([known_ids, np.repeat(all_ids, counts)])
+        own = np.concatenate([known_own, np.frombuffer(b"".join(part["hashes"].to_pylist()), np.uint64)])
         order = np.lexsort((ids, own, key))
         fresh = np.append(True, (key[order][1:] != key[order][:-1]) | (own[order][1:] != own[order][:-1]))
         least = ids[order][np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
         repeated = np.zeros(len(own), bool)
         repeated[order] = ids[order] > least
+        first = order[fresh & (key[order] == keys[-1])]
+        known_key, known_own, known_ids = keys[-1], own[first], ids[first]
+        own, repeated = own[old:], repeated[old:]
         row = np.repeat(np.arange(len(counts)), counts)
         place = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
         edge = np.append(True, (row[1:] != row[:-1]) | (repeated[1:] != repeated[:-1]))
@@ -242,23 +274,6 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part["id"].take(at), part["version"].take(at), pa.array(starts.astype(np.int32)), pa.array(length.astype(np.int32))], names=["id", "version", "start", "n"])
 
 
-def _by_whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows, cut so that no key is in two batches."""
-    rest: pa.RecordBatch | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if rest is not None:
-            batch = pa.concat_batches([rest, batch])
-        keys = batch["key"].to_numpy(zero_copy_only=False)
-        stop = int(np.searchsorted(keys, keys[-1], side="left"))
-        if stop:
-            yield batch.slice(0, stop)
-        rest = batch.slice(stop)
-    if rest is not None:
-        yield rest
-
-
 def _kept(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
