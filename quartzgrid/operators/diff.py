@@ -45,9 +45,15 @@ def names_diff(old: DataFrame, new: DataFrame, name: str, target: str) -> DataFr
     return both.withColumn("change", change).where("change IS NOT NULL").select(name, "change", "old_target", "new_target")
 
 
-def reads_changed(old_reads: Column, new_reads: Column) -> tuple[Column, Column]:
-    """(added, removed)."""
-    return F.array_except(new_reads, old_reads), F.array_except(old_reads, new_reads)
+def reads_changed(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """(columns, change): edges that only the new version has (added) or only the old one (removed), of cells that both have.
+
+    old and new hold the same columns, `keys` those that name the reading cell. Nulls are values like others.
+    """
+    columns = old.columns
+    here = lambda df, other: df.join(other.select(*keys).distinct(), keys, "left_semi").select(*columns).distinct()
+    a, b = here(old, new), here(new, old)
+    return b.subtract(a).withColumn("change", F.lit("added")).unionByName(a.subtract(b).withColumn("change", F.lit("removed")))
 
 
 def differs(a: Column, b: Column, relative: float = 1e-9, absolute: float = 1e-9) -> Column:

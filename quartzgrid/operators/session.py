@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quartzgrid.functions.a1 import overlaps
+from quartzgrid.functions.a1 import column_letter, overlaps
+from quartzgrid.operators import model
 from quartzgrid.operators.profile import find_capped
 from quartzgrid.operators.spatial import interval_join
 
@@ -41,3 +42,33 @@ def readers_of_changes(changes: DataFrame, edges: DataFrame, width: int = 64) ->
     points = changes.select("change_id", F.col("sheet").alias("target_sheet"), "row", "col")
     met = interval_join(points, edges.select("target_sheet", "row_lo", "row_hi", "col_lo", "col_hi", F.col("sheet").alias("reader_sheet"), "formula"), ("row", "row"), ("row_lo", "row_hi"), width, ["target_sheet"])
     return met.where("col BETWEEN col_lo AND col_hi").select("change_id", "reader_sheet", "formula").distinct()
+
+
+def find_everywhere(cells: DataFrame, names: DataFrame, needle: str) -> DataFrame:
+    """(place, text, total): the first MATCHES cells and defined names that hold the text, whatever the case, with the true total.
+
+    cells(workbook_id, sheet, row, col, display, formula), names as operators.model gives them. Cells come before names.
+    """
+    at = F.concat(F.col("sheet"), F.lit("!"), column_letter(F.col("col")), F.col("row").cast("string"))
+    held = cells.select(F.struct(F.lit(0).alias("kind"), "workbook_id", "sheet", "row", "col", F.lit("").alias("name")).alias("order"), at.alias("place"), F.concat_ws(" ", "display", "formula").alias("text"))
+    named = names.select(F.struct(F.lit(1).alias("kind"), "workbook_id", F.coalesce("scope_sheet", F.lit("")).alias("sheet"), F.lit(0).alias("row"), F.lit(0).alias("col"), "name").alias("order"), F.col("name").alias("place"), F.concat_ws(" ", "name", "target").alias("text"))
+    return find_capped(held.unionByName(named), needle, F.col("text"), "order", MATCHES).select("order.workbook_id", "place", "text", "total")
+
+
+def readers(cells: DataFrame, facts: DataFrame, sheet: str, rectangle: tuple[int, int, int, int]) -> DataFrame:
+    """(workbook_id, kind, sheet, at): formula cells and objects with a resolved edge that meets the rectangle, each once; gaps meet nothing."""
+    resolved = (F.col("target_sheet") == sheet) & _meets(rectangle)
+    formulas = model.edges_of_cells(cells, facts).where(resolved).select("workbook_id", F.lit("formula").alias("kind"), "sheet", F.concat(column_letter(F.col("col")), F.col("row").cast("string")).alias("at"))
+    drawn = model.objects(facts).where(resolved).select("workbook_id", F.col("object_kind").alias("kind"), "sheet", F.col("name").alias("at"))
+    return formulas.unionByName(drawn).distinct()
+
+
+def reads(cells: DataFrame, facts: DataFrame, sheet: str, rectangle: tuple[int, int, int, int]) -> DataFrame:
+    """What the formulas inside a rectangle read, with what each read cell or range shows: one value, or the number of cells."""
+    row_lo, row_hi, col_lo, col_hi = rectangle
+    inside = cells.where((F.col("sheet") == sheet) & F.col("row").between(row_lo, row_hi) & F.col("col").between(col_lo, col_hi))
+    found = model.edges_of_cells(inside, facts).where("target_sheet IS NOT NULL")
+    shown = cells.select("workbook_id", F.col("sheet").alias("target_sheet"), F.col("row").alias("r"), F.col("col").alias("c"), "display")
+    met = found.join(shown, ["workbook_id", "target_sheet"]).where("r BETWEEN row_lo AND row_hi AND c BETWEEN col_lo AND col_hi")
+    keys = ["workbook_id", "sheet", "row", "col", "formula", "target_sheet", "row_lo", "row_hi", "col_lo", "col_hi", "kind"]
+    return met.groupBy(*keys).agg(F.count("*").alias("n_cells"), F.min_by("display", F.struct("r", "c")).alias("first_display"))

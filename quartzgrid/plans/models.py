@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quartzgrid.catalog import Catalog, table
 from quartzgrid.formulas.references import Edge
-from quartzgrid.operators import documents, model, regions, render, structure, whatif
+from quartzgrid.operators import documents, evaluate, model, regions, render, session, structure, whatif
 from quartzgrid.plans import expected
 from quartzgrid.sources.workbook import cells_frame, facts_frame
 from quartzgrid.sources.write_xlsx import PERCENT, Formula, Styled, table_of, workbook
@@ -257,3 +257,121 @@ def render_clipped(spark, sf_dir):
     shown = render.workbook_text(cells, facts, 60)
     lines = F.split("text", "\n", -1)
     return shown.select("workbook_id", "detail", "complete", F.size(lines).alias("n_lines"), lines[F.size(lines) - 2].alias("last"))
+
+
+# ---- reading --------------------------------------------------------------------------
+
+
+@CATALOG.query(
+    "saved_values",
+    _values(
+        {"row": "INTEGER", "kind": "VARCHAR", "num": "DOUBLE", "str": "VARCHAR", "ts": "TIMESTAMP", "display": "VARCHAR", "is_percentage": "BOOLEAN"},
+        [(1, "number", 0.1, None, None, "0.1", True), (2, "number", 0.2, None, None, "0.2", False), (3, "date", None, None, "2024-05-01 00:00:00", "2024-05-01 00:00:00", False), (4, "boolean", 1.0, None, None, "TRUE", False), (5, "error", None, "#DIV/0!", None, "#DIV/0!", False)],
+    ),
+)
+def saved_values(spark, sf_dir):
+    """Numbers, dates, logical values and errors as they were saved."""
+    found = _cells(spark, sf_dir).where("sheet = 'Inputs' AND col = 2")
+    return found.select("workbook_id", "row", "kind", "num", "str", "ts", "display", "is_percentage")
+
+
+_TEXT = "\ufeffid;Región;Importe;Activo;Nota\n007;Norte;1200,5;TRUE;\"a;b\"\n8;Sur;980;false;\n9;Este;1.5e3;x;3/4\n"
+
+
+@CATALOG.query(
+    "csv_cells",
+    _values(
+        {"row": "INTEGER", "col": "INTEGER", "kind": "VARCHAR", "num": "DOUBLE", "str": "VARCHAR"},
+        [(1, c, "text", None, v) for c, v in enumerate(("id", "Región", "Importe", "Activo", "Nota"), 1)]
+        + [(2, 1, "text", None, "007"), (2, 2, "text", None, "Norte"), (2, 3, "number", 1200.5, None), (2, 4, "boolean", 1.0, None), (2, 5, "text", None, "a;b"), (3, 1, "number", 8.0, None), (3, 2, "text", None, "Sur"), (3, 3, "number", 980.0, None), (3, 4, "boolean", 0.0, None)]
+        + [(4, 1, "number", 9.0, None), (4, 2, "text", None, "Este"), (4, 3, "number", 1500.0, None), (4, 4, "text", None, "x"), (4, 5, "text", None, "3/4")],
+    ).replace(".xlsx'", ".csv'"),
+)
+def csv_cells(spark, sf_dir):
+    """Delimited text with a byte order mark, decimal commas, quotes, leading zeros and an empty field."""
+    files = table(spark, sf_dir, "region").select(F.concat("r_name", F.lit(".csv")).alias("path"), F.encode(F.lit(_TEXT), "UTF-8").alias("content"))
+    cells = cells_frame(files.select("path", F.sha2("content", 256).alias("sha256"), "content"))
+    return cells.select(F.col("path").alias("workbook_id"), "row", "col", "kind", "num", "str")
+
+
+_BLOCKS = [["Revenue", "Cost"], ["USD", "usd."], [1.0, 2.0], [3.0, 4.0], ["Notebook", 5.0], ["Sources: ledger", None], [], ["Legend"], ["All amounts are rounded."]]
+
+
+@CATALOG.query(
+    "detect_notes",
+    _values({"kind": "VARCHAR", "a1": "VARCHAR", "n_rows": "INTEGER", "headers": "VARCHAR", "units": "VARCHAR"}, [("table", "A1:B5", 3, "Revenue, Cost", "USD, usd."), ("notes", "A6:B6", 1, "", ""), ("notes", "A8:B9", 2, "", "")]),
+)
+def detect_notes(spark, sf_dir):
+    """A units row, a data row that only begins like a note, a note under the table, a block of notes."""
+    content = workbook({"S": _BLOCKS})
+    files = table(spark, sf_dir, "region").select(F.concat("r_name", F.lit(".xlsx")).alias("path"), F.lit(content).cast("binary").alias("content"))
+    cells = cells_frame(files.select("path", F.sha2("content", 256).alias("sha256"), "content")).withColumn("workbook_id", F.col("path"))
+    return regions.regions(cells).select("workbook_id", "kind", "a1", "n_rows", F.array_join("headers", ", ").alias("headers"), F.array_join("units", ", ").alias("units"))
+
+
+# ---- questions about a model --------------------------------------------------------------
+
+
+@CATALOG.query("range_read", _values({"row": "INTEGER", "col": "INTEGER", "display": "VARCHAR", "next_row": "INTEGER"}, [(2, 2, "3", None), (2, 3, "2.5", None), (3, 2, "4", None), (3, 3, "1.5", None)]))
+def range_read(spark, sf_dir):
+    return render.read_range(_cells(spark, sf_dir).where("sheet = 'Sales'"), 2, 3, 2, 3).select("workbook_id", "row", "col", "display", "next_row")
+
+
+@CATALOG.query(
+    "range_readers",
+    _values({"kind": "VARCHAR", "sheet": "VARCHAR", "at": "VARCHAR"}, [("formula", "Sales", "D3"), ("formula", "Sales", "B5"), ("formula", "Calc", "A2"), ("formula", "Calc", "A8"), ("formula", "Calc", "A18"), ("formula", "Calc", "A19"), ("chart", "Sales", "chart1")]),
+)
+def range_readers(spark, sf_dir):
+    """Who reads Sales!B3: formulas by name, table, column, row and range, and a chart."""
+    return session.readers(_cells(spark, sf_dir).where("sheet <> 'Tests'"), _facts(spark, sf_dir), "Sales", (3, 3, 2, 2))
+
+
+@CATALOG.query(
+    "range_reads",
+    _values(
+        {"row": "INTEGER", "target_sheet": "VARCHAR", "n_cells": "BIGINT", "first_display": "VARCHAR"},
+        [(1, "Inputs", 1, "0.1"), (2, "Sales", 3, "3"), (3, "Inputs", 1, "0.2"), (5, "Jan", 1, "1"), (5, "Feb", 1, "2"), (5, "Mar", 1, "3")],
+    ),
+)
+def range_reads(spark, sf_dir):
+    """What Calc!A1:A5 reads, with the first value of each."""
+    return session.reads(_cells(spark, sf_dir), _facts(spark, sf_dir), "Calc", (1, 5, 1, 1)).select("workbook_id", "row", "target_sheet", "n_cells", "first_display")
+
+
+@CATALOG.query("find_everywhere", "SELECT r_name || '.xlsx' AS workbook_id, v.place, CAST(3 * c AS BIGINT) AS total FROM region CROSS JOIN (SELECT count(*) AS c FROM region) CROSS JOIN (VALUES ('Inputs!A1'), ('Calc!A1'), ('Rate')) v(place)")
+def find_everywhere(spark, sf_dir):
+    """Cells and defined names that hold `RATE` in any case: a label, a formula, a name."""
+    cells = _cells(spark, sf_dir).where("sheet IN ('Inputs', 'Calc')")
+    return session.find_everywhere(cells, model.names(_facts(spark, sf_dir)).where("name <> 'Loose'"), "rate").select("workbook_id", "place", "total")
+
+
+@CATALOG.query(
+    "diff_reads",
+    """WITH o AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS target FROM lineitem WHERE l_linenumber < 4), n AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS target FROM lineitem WHERE l_linenumber BETWEEN 2 AND 5),
+    a AS (SELECT * FROM o WHERE k IN (SELECT k FROM n)), b AS (SELECT * FROM n WHERE k IN (SELECT k FROM o))
+    SELECT *, 'added' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'removed' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""",
+)
+def diff_reads(spark, sf_dir):
+    from quartzgrid.operators import diff
+
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("target"), "l_linenumber")
+    return diff.reads_changed(lines.where("l_linenumber < 4").drop("l_linenumber"), lines.where("l_linenumber BETWEEN 2 AND 5").drop("l_linenumber"), ["k"])
+
+
+# ---- evaluation --------------------------------------------------------------------------
+
+#: The best five chunks of this corpus for each question, and whether they cite what the case expects: (case, first relevant rank).
+_CHUNKS = [
+    ("wb", "wb:v1:region:s!a1", "S", "A1:B9", "Tax table", "rate by year", ["Year"]), ("wb", "wb:v1:region:s!d1", "S", "D1:E9", "Staff", "people and pay", ["Name"]), ("wb", "wb:v1:sheet:s", "S", "A1:Z99", "Sheet S", "tax staff rate", []),
+    ("wb", "wb:v1:region:t!a1", "T", "A1:B9", "Tax other", "rate", []), ("other", "other:v1:region:s!a1", "S", "A1:B9", "Tax table", "rate by year", ["Year"]),
+]
+_CASES = [("tax", "Which tax rate?", "wb", [("S", "B2:B3")]), ("staff", "How many people?", "wb", [("S", "E5"), ("T", "A1")]), ("none", "Unheard words", "wb", [("S", "A1")])]
+
+
+@CATALOG.query("evaluation_run", "SELECT * FROM (VALUES ('tax', 1, 1, 1), ('staff', 2, 1, 1), ('none', 1, NULL, 0)) v(case_id, n_expected, first_rank, covered_5)")
+def evaluation_run(spark, sf_dir):
+    """All cases in one plan: hits of the case's workbook only; a sheet's summary cites nothing; half of what `staff` expects is found."""
+    chunks = spark.createDataFrame(_CHUNKS, "workbook_id string, node_id string, sheet_name string, a1_range string, title string, content string, headers array<string>")
+    cases = spark.createDataFrame(_CASES, f"case_id string, question string, workbook_id string, expected {evaluate.EXPECTED}")
+    _, results = evaluate.run(cases, evaluate.lexical_hits(cases, chunks, 5), [5])
+    return results.select("case_id", F.col("n_expected").cast("int").alias("n_expected"), "first_rank", F.col("covered_5").cast("int").alias("covered_5"))
