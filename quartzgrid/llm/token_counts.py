@@ -3,7 +3,9 @@
 A byte-level BPE vocabulary never merges across pre-tokens, so a text's count is the sum over its pre-tokens of their
 frequency times their number of pieces. Documents are handled in blocks: a block writes, for each of its distinct
 pre-tokens, one row with the frequencies of all its documents, so a pre-token that every document holds sends one row
-per block and not one per document.
+per block and not one per document. Rows meet by pre-token; those of pre-tokens that many documents of a block hold are
+dealt over SALTS places, and the rows that name a block's documents over all. What a task has summed for a block goes
+on as one row of packed sums, and meets the block's other rows by block.
 """
 
 from __future__ import annotations
@@ -14,11 +16,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzgrid.llm.common import text_of
+from quartzgrid.storage import picked
 
 #: Documents of a block: at most what thirteen bits hold. Texts of a block: it ends once it holds so many characters.
 BLOCK_DOCUMENTS = 8192
@@ -32,8 +36,14 @@ UNUSUAL = re.compile(f"[^\t-\r\x20-\x7e{LETTERS}]")
 #: The byte-level pre-token rule over those characters.
 PRETOKEN = re.compile(f" ?[{LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\\s{LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
 
-_POSTINGS = "pretoken string, block long, postings binary"
-_SUMS = "block long, at int, id long, n_bytes long, n_tokens long"
+#: A pre-token that more documents of a block hold is frequent: it is counted once in each of SALTS places.
+FREQUENT, SALTS = 256, 64
+#: Postings summed at once, and blocks whose sums a task holds before it writes them.
+ENTRIES, HELD_BLOCKS = 1 << 20, 256
+
+_POSTINGS = "pretoken string, block long, salt long, postings binary"
+_PARTS = "block long, head boolean, data binary"
+_TOTALS = "id long, n_bytes long, n_tokens long"
 
 
 def load_tokenizer(path: str):
@@ -59,11 +69,11 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, id_column: str = "do
     empty table gives no rows. Columns other than the two named are not read, whatever their names are. `documents`
     must give its rows in the same order when a task is run again, as a table does.
     """
-    docs = documents.select(F.col(id_column).cast("long").alias("id"), text_of(F.col(text_column)).alias("text"))
+    docs = picked(documents, {"id": id_column, "text": text_column}).select(F.col("id").cast("long").alias("id"), text_of(F.col("text")).alias("text"))
     shares = docs.mapInArrow(_block_frequencies(tokenizer_path), _POSTINGS)
     # One exchange by pre-token; within a partition equal pre-tokens are neighbours, and each is counted once.
-    joined = shares.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(_piece_counts(tokenizer_path), _SUMS)
-    whole = joined.groupBy("block", "at").agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
+    parts = shares.repartition("pretoken", "salt").sortWithinPartitions("pretoken").mapInArrow(_piece_counts(tokenizer_path), _PARTS)
+    whole = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_totals, _TOTALS)
     return whole.select(F.col("id").alias(id_column), "n_bytes", "n_tokens")
 
 
@@ -116,24 +126,25 @@ class _Block:
     def rows(self) -> Iterator[pa.RecordBatch]:
         """A row for each pre-token; a row with a null pre-token holds the documents themselves."""
         head = np.array([[i or 0, i is None, n] for i, n in zip(self.ids, self.sizes)], dtype="<i8")
-        yield self._batch(pa.array([None], pa.string()), pa.array([head.tobytes()], pa.binary()))
+        yield self._batch(pa.array([None], pa.string()), np.array([self.number]), pa.array([head.tobytes()], pa.binary()))
         if self.codes:
             codes, entries = np.concatenate(self.code_parts), np.concatenate(self.entry_parts)
             entries = entries[np.argsort(codes, kind="stable")]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(self.codes)))]) * 4
+            held = np.bincount(codes, minlength=len(self.codes))
+            ends = np.concatenate([[0], np.cumsum(held)]) * 4
             data = pa.Array.from_buffers(pa.binary(), len(self.codes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(entries)])
-            names = pa.array(list(self.codes), pa.string())
+            names, salts = pa.array(list(self.codes), pa.string()), np.where(held > FREQUENT, self.number % SALTS + 1, 0)
             for k in range(0, len(names), 50_000):
-                yield self._batch(names[k : k + 50_000], data[k : k + 50_000])
+                yield self._batch(names[k : k + 50_000], salts[k : k + 50_000], data[k : k + 50_000])
 
-    def _batch(self, names: pa.Array, data: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([names, pa.array(np.full(len(names), self.number)), data], names=["pretoken", "block", "postings"])
+    def _batch(self, names: pa.Array, salts: np.ndarray, data: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([names, pa.array(np.full(len(names), self.number)), pa.array(salts), data], names=["pretoken", "block", "salt", "postings"])
 
 
 def _block_frequencies(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = pretokens(load_tokenizer(path))
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 32  # a block's number starts at its partition's
         block = _Block(number)
         for batch in batches:
             for i, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
@@ -154,41 +165,97 @@ def _piece_counts(path: str):
         specials = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
         chars, cut_up = byte_chars(), tokenizer.model.tokenize
         last: tuple[str | None, int] = (None, 0)
+        sums = _Sums()
         for batch in batches:
-            names = batch["pretoken"].to_pylist()
-            new = [x for x in dict.fromkeys(names) if x is not None and x != last[0]]
-            pieces = {x: 1 if x in specials else len(cut_up(x.encode("utf-8", "surrogatepass").decode("latin1").translate(chars))) for x in new} | dict([last])
-            last = (names[-1], pieces[names[-1]]) if names and names[-1] is not None else last
-            blocks = batch["block"].to_numpy(zero_copy_only=False)
-            yield from _summed(names, pieces, blocks, batch["postings"])
+            heads = batch["pretoken"].is_null()
+            if heads.true_count:
+                part = batch.filter(heads)
+                yield _part(part["block"], True, part["postings"])
+                batch = batch.filter(pc.invert(heads))
+            if not batch.num_rows:
+                continue
+            coded = batch["pretoken"].dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            pieces = [last[1] if x == last[0] else 1 if x in specials else len(cut_up(x.encode("utf-8", "surrogatepass").decode("latin1").translate(chars))) for x in names]
+            codes = coded.indices.to_numpy()
+            last = (names[codes[-1]], pieces[codes[-1]])
+            yield from sums.add(batch["block"].to_numpy(), np.array(pieces, np.int64)[codes], batch["postings"])
+        yield from sums.flush()
 
     return run
 
 
-def _summed(names: list[str | None], pieces: dict, blocks: np.ndarray, postings: pa.Array) -> Iterator[pa.RecordBatch]:
-    data, which, weights = [], [], []
-    for k, (name, block) in enumerate(zip(names, blocks)):
-        if name is None:
-            head = np.frombuffer(postings[k].as_py(), "<i8").reshape(-1, 3)
-            n = len(head)
-            ids = pa.array(head[:, 0].copy(), mask=head[:, 1] == 1)
-            yield _sums(np.full(n, block), np.arange(n), ids, head[:, 2].copy(), np.zeros(n, np.int64))
-        else:
-            x = postings[k].as_buffer()
-            data.append(np.frombuffer(x, np.uint32))
-            which.append(block)
-            weights.append(pieces[name])
-    if data:
-        lengths = [len(x) for x in data]
-        entries = np.concatenate(data).astype(np.int64)
-        keys = np.repeat(np.array(which, np.int64), lengths) << 13 | entries & 8191
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], ((entries >> 13) * np.repeat(np.array(weights, np.int64), lengths))[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys = keys[first]
-        yield _sums(keys >> 13, keys & 8191, pa.nulls(len(keys), pa.int64()), None, np.add.reduceat(n, first))
-
-
-def _sums(block: np.ndarray, at: np.ndarray, ids: pa.Array, n_bytes: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
-    sizes = pa.nulls(len(n), pa.int64()) if n_bytes is None else pa.array(n_bytes)
-    return pa.RecordBatch.from_arrays([pa.array(block), pa.array(at.astype(np.int32)), ids, sizes, pa.array(n)], names=["block", "at", "id", "n_bytes", "n_tokens"])
+class _Sums:
+    """Tokens of the documents of each block, as far as a task has summed them."""
+
+    def __init__(self) -> None:
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+        self.held: dict[int, np.ndarray] = {}
+
+    def add(self, blocks: np.ndarray, pieces: np.ndarray, postings: pa.Array) -> Iterator[pa.RecordBatch]:
+        lengths, entries = _entries(postings)
+        self.waiting.append((np.repeat(blocks, lengths) << 13 | entries & 8191, (entries >> 13) * np.repeat(pieces, lengths)))
+        self.size += len(entries)
+        if self.size >= ENTRIES:
+            yield from self._sum()
+
+    def _sum(self) -> Iterator[pa.RecordBatch]:
+        if self.waiting:
+            keys, n = (np.concatenate(x) for x in zip(*self.waiting))
+            blocks, at = np.unique(keys >> 13, return_inverse=True)
+            # Sums of a million products of 19 bits and a word's pieces: far below 2**53, so doubles are exact.
+            totals = np.bincount(at << 13 | keys & 8191, n, len(blocks) << 13).astype(np.int64).reshape(-1, BLOCK_DOCUMENTS)
+            for block, own in zip(blocks.tolist(), totals):
+                self.held[block] = self.held[block] + own if block in self.held else own.copy()
+            self.waiting, self.size = [], 0
+        if len(self.held) >= HELD_BLOCKS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.waiting:
+            yield from self._sum()
+        held, self.held = self.held, {}
+        for block, totals in held.items():
+            at = np.flatnonzero(totals)
+            while len(at):
+                n = np.minimum(totals[at], MOST)
+                yield _part(pa.array([block]), False, pa.array([(n << 13 | at).astype(np.uint32).tobytes()], pa.binary()))
+                totals[at] -= n
+                at = at[totals[at] > 0]
+
+
+def _entries(postings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many numbers of 32 bits each row holds, and the numbers of all rows."""
+    ends = np.frombuffer(postings.buffers()[1], np.int32)[postings.offset : postings.offset + len(postings) + 1]
+    data = np.frombuffer(postings.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return np.diff(ends) // 4, data.view(np.uint32).astype(np.int64)
+
+
+def _part(blocks: pa.Array, head: bool, data: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([blocks, pa.array(np.full(len(blocks), head)), data], names=["block", "head", "data"])
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block -> a row for each of its documents, in which all sums meet."""
+    block, head, sums = None, b"", np.zeros(BLOCK_DOCUMENTS, np.int64)
+
+    def documents() -> pa.RecordBatch:
+        rows = np.frombuffer(head, "<i8").reshape(-1, 3)
+        ids = pa.array(rows[:, 0].copy(), mask=rows[:, 1] == 1)
+        return pa.RecordBatch.from_arrays([ids, pa.array(rows[:, 2].copy()), pa.array(sums[: len(rows)].copy())], names=["id", "n_bytes", "n_tokens"])
+
+    for batch in batches:
+        for number, is_head, data in zip(batch["block"].to_pylist(), batch["head"].to_pylist(), batch["data"].to_pylist()):
+            if number != block:
+                if block is not None:
+                    yield documents()
+                block, head = number, b""
+                sums[:] = 0
+            if is_head:
+                head = data
+            else:
+                entries = np.frombuffer(data, np.uint32).astype(np.int64)
+                sums[entries & 8191] += entries >> 13  # a row has each document once
+    if block is not None:
+        yield documents()
