@@ -94,6 +94,7 @@ def test_passage_of_more_rows_than_a_batch(spark):
     try:
         passage = " ".join(f"p{k}" for k in range(60))
         rows = [(k * 37 % 101, f"a{k} " + passage[: len(passage) - k % 3 * 4] + f" z{k} z{k}", *[None] * 7) for k in range(101)]
+        rows += [(200 + k, "in out " * (90 + 40 * k), *[None] * 7) for k in range(4)]
         got = substring_dedup.dedup_passages(frame(spark, rows), 50).collect()
         assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == slow_passages(rows, 50)
     finally:
@@ -205,3 +206,54 @@ def test_links_between_blocks():
         assert found <= near
         joined = lambda links: components(60, lambda i, j: groups[i] == groups[j] or (i, j) in links or (j, i) in links)
         assert joined(found) == joined(near)
+
+
+def test_random_lines_against_brute_force(spark):
+    rng = random.Random(21)
+    lines = []
+    for k in range(500):
+        if lines and rng.random() < 0.5:  # a copy with up to two edits of an earlier line
+            own = list(rng.choice(lines))
+            for _ in range(rng.randrange(3)):
+                at = rng.randrange(len(own) + 1)
+                own[at : at + rng.randrange(2)] = [f"n{rng.randrange(99)}"] * rng.randrange(2)
+        else:
+            own = [f"w{rng.randrange(12)}" for _ in range(rng.choice([1, 7, 8, 9, 10, 15, 16, 17, 31, 64, 70]))]
+        lines.append(own or ["w0"])
+    white = ["  ", "\t", " \x0b", "\r", " "]
+    texts = [[rng.choice(["", " "]) + "".join(w + rng.choice(white if rng.random() < 0.1 else [" "]) for w in own).rstrip(" ") for own in lines[k : k + 5]] for k in range(0, len(lines), 5)]
+    rows = [(k, "\n".join(t), *[None] * 7) for k, t in enumerate(texts)]
+    seen, want = [], {}
+    for k, part in enumerate(texts):
+        kept = []
+        for line in part:
+            own = tuple(w for w in re.split("[\x20\x09-\x0d]+", line) if w)
+            near = any(own == o or (min(len(own), len(o)) >= 8 and edits(own, o) <= 1) for o in seen)
+            if own:
+                seen.append(own)
+            if not (own and near):
+                kept.append(line)
+        want[k] = "\n".join(kept)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_a_line_that_a_third_of_all_documents_hold(spark):
+    """The same line, and lines that differ from it in one word each: one row a key after the map side, all but the earliest go."""
+    base = [f"w{k}" for k in range(12)]
+    rows = [(k, " ".join(base) if k % 3 == 0 else " ".join(base[:5] + [f"x{k}"] + base[6:]), *[None] * 7) for k in range(300)]
+    got = line_dedup.dedup_lines(frame(spark, rows), counts=("n", "gone")).collect()
+    assert sorted(r.doc_id for r in got if r.gone == 0) == [0]
+
+
+def test_near_copies_lose_no_pair_of_a_shared_template(spark):
+    """1,500 pairs of similarity 0.94 that share a text of 150 words: exactly one of each pair stays."""
+    rng = random.Random(13)
+    common = " ".join(f"c{k}" for k in range(150))
+    rows = []
+    for k in range(1500):
+        own = [f"o{k}x{m}" for m in range(20)]
+        other = [*own[:-1], f"p{k}"]
+        rows += [(2 * k, f"{common} {' '.join(own)}", *[None] * 7), (2 * k + 1, f"{common} {' '.join(other)}", *[None] * 7)]
+    rng.shuffle(rows)
+    assert near_copies.keep_one_of_each(frame(spark, rows)).count() == 1500

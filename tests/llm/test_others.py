@@ -69,6 +69,16 @@ def test_neighbours_match_brute_force(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_neighbours_where_queries_are_too_many_to_be_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = spark.createDataFrame(list(enumerate(rng.normal(size=(400, 12)).tolist())), "vec_id long, embedding array<double>").repartition(5)
+    find = lambda most: sorted(map(tuple, neighbours.nearest(vectors, F.col("vec_id") % 4 == 0, broadcast_bytes=most).collect()))
+    want = find(1 << 24)
+    monkeypatch.setattr(neighbours, "SLOT_QUERIES", 30)
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 100)
+    assert find(0) == want and len(want) == 500
+
+
 def test_neighbours_of_repeated_rows(spark):
     rng = np.random.default_rng(2)
     rows = list(enumerate(rng.normal(size=(60, 16)).tolist()))
@@ -113,6 +123,34 @@ def test_decontamination(spark):
     assert decontamination.find_leaks(frame(spark), items.limit(0)).count() == 0
 
 
+def test_windows_at_the_least_similarity(spark):
+    """Copies of items with so many words changed that they are just similar enough, and one more: found by their fingerprints, or not at all."""
+    rng = random.Random(17)
+    from collections import Counter
+
+    def similarity(a, b):
+        x, y = (Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (a, b))
+        shared = sum((x & y).values())
+        return shared / (sum(x.values()) + sum(y.values()) - shared)
+
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(rng.randrange(20, 60)))) for k in range(40)]
+    rows, want = [], set()
+    for k, text in items:
+        for copy in range(4):
+            own = text.split()
+            ends = rng.randrange(1, 4)
+            own[:ends], own[len(own) - copy :] = [f"x{rng.randrange(10**6)}" for _ in range(ends)], [f"y{rng.randrange(10**6)}" for _ in range(copy)]
+            before, after = ([f"z{rng.randrange(10**6)}" for _ in range(rng.randrange(30))] for _ in range(2))
+            words = before + own + after
+            n = len(text.split())
+            best = max(similarity(words[a : a + n], text.split()) for a in range(len(words) - n + 1))
+            rows.append((4 * k + copy, " ".join(words), *[None] * 7))
+            if best >= 0.8:
+                want.add((4 * k + copy, k))
+    found = {(r.id, r.item_id) for r in decontamination.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == want and 20 < len(want) < 160
+
+
 ASSIGN = re.compile(r"""(?a:(?i:(password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 

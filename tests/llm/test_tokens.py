@@ -94,3 +94,25 @@ def test_cuts_cost_least(gaps):
     n = len(gaps)
     best = min(cost([k + 1 for k in range(n - 1) if mask >> k & 1] + [n]) for mask in range(1 << (n - 1)))
     assert cost(packing.best_cuts(positions, penalties, length)) == best
+
+
+def test_pieces_say_where_they_come_from_across_runs(spark, monkeypatch):
+    """doc_id, start, order, doc_tokens and crc of each piece, where runs of the dynamic programme end inside documents."""
+    from tests.llm.test_pipeline import check_pieces
+
+    monkeypatch.setattr(packing, "RUN_TOKENS", 700)
+    texts = {k: " ".join(f"word{(j * 7 + k) % 90}" + "." * (j % 9 == 0) for j in range(n)) for k, n in enumerate([5, 900, 1, 0, 260, 3000, 40, 700])}
+    rows = [(k, t, *[None] * 7) for k, t in texts.items()]
+    check_pieces(texts, packing.pack(frame(spark, rows), WORD, length=256).collect())
+
+
+def test_a_pretoken_that_all_documents_hold(spark, monkeypatch):
+    """Blocks of few documents, frequent pre-tokens dealt over several places: the counts are the library's."""
+    library = Tokenizer.from_file(BYTE)
+    monkeypatch.setattr(token_counts, "BLOCK_CHARS", 2000)
+    monkeypatch.setattr(token_counts, "FREQUENT", 2)
+    monkeypatch.setattr(token_counts, "HELD_BLOCKS", 2)
+    monkeypatch.setattr(token_counts, "ENTRIES", 50)
+    rows = [(k, f"the the quick {k} " * (k % 7) + "the end", *[None] * 7) for k in range(300)]
+    got = sorted((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(frame(spark, rows), BYTE).collect())
+    assert got == [(r[0], len(library.encode(r[1], add_special_tokens=False).ids)) for r in rows]
