@@ -17,8 +17,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quartzgrid.llm.common import cut, text_of
+from quartzgrid.llm.common import text_of
 from quartzgrid.llm.components import Labels, components
+from quartzgrid.storage import Workspace, cut, picked
 
 SHINGLE_WORDS, RADIUS, SEED, PIVOTS = 3, 3, 42, 16
 REFERENCES = np.random.default_rng(20240607).integers(0, 1 << 64, PIVOTS, dtype=np.uint64)
@@ -57,7 +58,7 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprints(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fp) per row; fp is the fingerprint's bits as a signed long."""
-    docs = documents.select(F.col(id_column).cast("long").alias("id"), text_of(F.col(text_column)).alias("text"))
+    docs = picked(documents, {"id": id_column, "text": text_column}).select(F.col("id").cast("long").alias("id"), text_of(F.col("text")).alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,6 +88,8 @@ def classes(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: in
     members = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     whole = members.join(least, "fp").groupBy("root").agg(F.min("least").alias("component"))
     named = least.join(members.join(whole, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # A table of its own, so that the join can split the rows of a fingerprint that a third of them may have.
+    named = Workspace(documents.sparkSession, "classes").keep(named, "named")
     return marked.join(named, "fp").select(F.col("id").alias(id_column), as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
