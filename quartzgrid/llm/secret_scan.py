@@ -10,17 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quartzgrid.llm.common import cut, text_of
+from quartzgrid.llm.common import bound, running, text_of
+from quartzgrid.storage import Workspace
 
 #: Patterns and least lengths of the base kinds, in the order of the kinds.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]{24,}"
 #: A maximal run of 24 or more is what a leftmost match of any length that reaches 24 is; shorter ones are dropped anyway.
 KINDS = (("assign", ASSIGN, 1, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
-#: The method's own kind: runs of credential characters with letters of both cases or digits among letters, that only
-#: one owner has. `OWNED_MOST` copies of a value within its owner still count as live.
+#: The method's own kind: runs of credential characters, letters and at least one digit in six, that only one owner has.
 OWNED = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 WIDE_OWNERS = 3
+#: A value in so many repositories, be they of one owner, is an example too.
+WIDE_REPOSITORIES = 5
+#: What a row of the ownership counts takes in memory.
+_COUNT_BYTES = 48
 
 
 def matches(text: Column, pattern: str, group: int, least: int) -> Column:
@@ -28,28 +32,21 @@ def matches(text: Column, pattern: str, group: int, least: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     between = F.transform(F.split(text, pattern, -1), F.length)
-    # One pass over the matches: each start is the previous end and the text between.
-    spans = F.aggregate(
-        F.arrays_zip(found.alias("whole"), values.alias("value"), F.slice(between, 1, F.size(found)).alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.length(x["whole"])).alias("at"),
-            F.when(
-                F.length(x["value"]) >= least,
-                F.concat(a["spans"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.length(x["whole"])).alias("end"), x["value"].alias("value")))),
-            ).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
+    # A match starts where the one before it ends, and the text between them later.
+    plus = lambda a, b: a + b
+    parts = F.arrays_zip(found.alias("whole"), values.alias("value"), F.slice(between, 1, F.size(found)).alias("gap"))
+    ends = lambda parts: running(F.transform(parts, lambda x: x["gap"] + F.length(x["whole"])), plus, F.lit(0))
+    span = lambda x, end: F.struct((end - F.length(x["whole"])).alias("start"), end.alias("end"), x["value"].alias("value"))
+    spans = bound(parts, lambda parts: F.filter(F.zip_with(parts, ends(parts), span), lambda s: F.length(s["value"]) >= least))
     return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
-def scan(documents: DataFrame, repository: Column, owner: Column, id_column: str = "doc_id", text_column: str = "text", wide_owners: int = WIDE_OWNERS) -> DataFrame:
+def scan(documents: DataFrame, repository: Column, owner: Column, id_column: str = "doc_id", text_column: str = "text", wide_owners: int = WIDE_OWNERS, wide_repositories: int = WIDE_REPOSITORIES) -> DataFrame:
     """One row per row of `documents`: id, base and spans (arrays of kind, start, end, value, n_owners, n_repositories, live), in the order of start and kind.
 
     Offsets are code points, the end exclusive. `base` holds the spans of the three fixed kinds, `spans` also those of
     the kind `owned`: other credential-like runs that one owner alone has. A value that `wide_owners` owners or more
-    hold is a widely copied example, not live. Null texts are empty and have no spans. Rows with null repository or
+    hold, or `wide_repositories` repositories, is a widely copied example, not live. Null texts are empty and have no spans. Rows with null repository or
     owner count as one repository or owner of their own. Null ids stay; repeated rows come back as often as they occur.
     An empty table gives no rows. Very long texts are scanned whole; columns that no argument names are not read.
     """
@@ -60,12 +57,15 @@ def scan(documents: DataFrame, repository: Column, owner: Column, id_column: str
     found = rows.withColumn("base", F.concat(*kinds)).withColumn("own", own)
     apart = F.filter("own", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     # Small beside the texts, and read three times below.
-    found = cut(found.select("id", "repository", "owner", F.concat("base", apart).alias("found")))
+    space = Workspace(documents.sparkSession, "secrets")
+    found = space.keep(found.select("id", "repository", "owner", F.concat("base", apart).alias("found")), "found")
     # Rows without candidates need no join; the others are told apart by their own hash of all that they hold.
     holding = found.where(F.size("found") > 0).withColumn("row", F.xxhash64("id", "repository", "owner", "found"))
     spans = holding.select("row", "repository", "owner", F.explode("found").alias("span")).withColumn("value_hash", F.xxhash64("span.value", F.length("span.value")))
-    counts = ownership(spans)
-    judged = spans.join(counts, "value_hash").select("row", F.col("span").withField("n_owners", F.col("n_owners")).withField("n_repositories", F.col("n_repositories")).withField("live", F.col("n_owners") < wide_owners).alias("span"))
+    counts = space.keep(ownership(spans), "counts")  # a table of its own, so that the join can split a value that is everywhere
+    shared = F.broadcast(counts) if space.small("counts", _COUNT_BYTES) else counts
+    live = (F.col("n_owners") < wide_owners) & (F.col("n_repositories") < wide_repositories)
+    judged = spans.join(shared, "value_hash").select("row", F.col("span").withField("n_owners", F.col("n_owners")).withField("n_repositories", F.col("n_repositories")).withField("live", live).alias("span"))
     judged = judged.where("span.kind <> 'owned' OR span.n_owners = 1")
     kept = judged.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("spans"))
     out = holding.select("id", "row").join(kept, "row", "left").select("id", "spans").unionByName(found.where(F.size("found") == 0).select("id", F.lit(None).cast(kept.schema["spans"].dataType).alias("spans")))
