@@ -50,7 +50,7 @@ def dedup_passages(documents: DataFrame, window: int = WINDOW, id_column: str =
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sketch = _merged_sketch(keyed, window, gram, min(MOST_BITS, max(LEAST_BITS, (8 * size // KEY_BYTES).bit_length())))
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    runs = keyed.mapInArrow(_estimated_repeated(shared, window, gram), "key long, id long, version long, start int, hashes binary")
+    runs = keyed.mapInArrow(_estimated_repeated(shared, window, gram), "key long, id long, version long, starts array<int>, hashes binary")
     ranges = runs.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_settled, "id long, version long, start int, n int")
     removed = ranges.groupBy("id", "version").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
     joined = docs.withColumn("version", F.xxhash64("text")).join(removed, ["id", "version"], "left").select("id", "text", "starts", "counts")
@@ -198,35 +198,43 @@ def _estimated_repeated(shared, window: int, gram: int):
 
 
 def _settled_here(found: list[tuple[int, int, int, bytes]], ids: np.ndarray, versions: np.ndarray) -> pa.RecordBatch:
-    """Equal runs within the batch: later documents are done here, as ranges with null hashes; the least ones go on."""
+    """Equal runs within the batch: later documents are done here, as ranges; the least ones go on, a document's equal runs as one row.
+
+    A text that repeats a few words has one key throughout and few different runs, so it is a few rows however long it is.
+    """
     least: dict[tuple[int, bytes], int] = {}
     for key, owner, _, hashes in found:
         i = ids[owner]
         if least.setdefault((key, hashes), i) > i:
             least[key, hashes] = i
-    keys, owners, starts, data = [], [], [], []
+    going: dict[tuple[int, int, bytes], list[int]] = {}
     done: dict[int, list[list[int]]] = {}
     for key, owner, start, hashes in found:
         if ids[owner] == least[key, hashes]:
-            keys.append(key)
-            owners.append(owner)
-            starts.append(start)
-            data.append(hashes)
+            going.setdefault((key, owner, hashes), []).append(start)
         else:
             ranges, n = done.setdefault(owner, []), len(hashes) // 8
             if ranges and ranges[-1][0] + ranges[-1][1] == start:
                 ranges[-1][1] += n
             else:
                 ranges.append([start, n])
+    keys, owners, starts, data = [], [], [], []
+    for (key, owner, hashes), own in going.items():
+        keys.append(key)
+        owners.append(owner)
+        starts.append(own)
+        data.append(hashes)
     for owner, ranges in done.items():
+        # Anywhere, but not all copies of a text in one place.
+        place = (int(versions[owner]) ^ int(ids[owner]) * SECOND) & (1 << 64) - 1
         for start, n in ranges:
-            keys.append((int(versions[owner]) ^ int(ids[owner]) * SECOND) & (1 << 64) - 1)  # anywhere, but not all copies of a text in one place
+            keys.append(place)
             owners.append(owner)
-            starts.append(start)
+            starts.append([start])
             data.append(b"R" + n.to_bytes(4, "little"))
     at = np.array(owners, dtype=np.int64)
     signed = np.array(keys, dtype=np.uint64).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(signed), pa.array(ids[at]), pa.array(versions[at]), pa.array(starts, pa.int32()), pa.array(data, pa.binary())], names=["key", "id", "version", "start", "hashes"])
+    return pa.RecordBatch.from_arrays([pa.array(signed), pa.array(ids[at]), pa.array(versions[at]), pa.array(starts, pa.list_(pa.int32())), pa.array(data, pa.binary())], names=["key", "id", "version", "starts", "hashes"])
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +251,7 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if ready.any():
             part = batch.filter(pa.array(ready))
             counts = pa.array([int.from_bytes(x[1:], "little") for x in part["hashes"].to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([part["id"], part["version"], part["start"], counts], names=["id", "version", "start", "n"])
+            yield pa.RecordBatch.from_arrays([part["id"], part["version"], part["starts"].flatten(), counts], names=["id", "version", "start", "n"])
         if ready.all():
             continue
         part = batch.filter(pa.array(~ready))
@@ -269,9 +277,17 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = np.flatnonzero(edge & repeated)
         stops = np.append(np.flatnonzero(edge)[1:], len(own))
         length = stops[np.searchsorted(np.flatnonzero(edge), begin)] - begin
-        at = pa.array(row[begin])
-        starts = part["start"].to_numpy(zero_copy_only=False)[row[begin]] + place[begin]
-        yield pa.RecordBatch.from_arrays([part["id"].take(at), part["version"].take(at), pa.array(starts.astype(np.int32)), pa.array(length.astype(np.int32))], names=["id", "version", "start", "n"])
+        # Each range, at each of its row's starts.
+        many = np.diff(part["starts"].offsets.to_numpy()) if part.num_rows else np.zeros(0, np.int64)
+        first = np.cumsum(many) - many
+        values = part["starts"].flatten().to_numpy(zero_copy_only=False)
+        reps = many[row[begin]]
+        which = np.repeat(np.arange(len(begin)), reps)
+        within = np.arange(len(which)) - np.repeat(np.cumsum(reps) - reps, reps)
+        at = row[begin][which]
+        starts = values[first[at] + within] + place[begin][which]
+        at = pa.array(at)
+        yield pa.RecordBatch.from_arrays([part["id"].take(at), part["version"].take(at), pa.array(starts.astype(np.int32)), pa.array(length[which].astype(np.int32))], names=["id", "version", "start", "n"])
 
 
 def _kept(window: int, with_text: bool):
