@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzgrid.llm.common import WordTable, text_of
-from quartzgrid.storage import picked
+from quartzgrid.storage import numbered, picked, place_of
 
 #: Buckets of hashed words, factors of a feature, and rows of the bounded training sample.
 BUCKETS, FACTORS, SAMPLE_ROWS = 1 << 13, 8, 8000
@@ -218,13 +218,14 @@ def keep_good(documents: DataFrame, machine: Machine, threshold: float = 0.3, te
     each by itself. Very long texts are scored whole. An empty table stays empty. Other columns may have any name.
     """
     shared = documents.sparkSession.sparkContext.broadcast((machine.bias, machine.weights, machine.factors))
-    has_declared = chars_column in documents.columns
+    rows, text = numbered(documents), place_of(documents, text_column)
+    chars = place_of(documents, chars_column) if chars_column in documents.columns else None
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
             if batch.num_rows:
-                declared = [x if isinstance(x, int) else None for x in batch[chars_column].to_pylist()] if has_declared else [None] * batch.num_rows
-                yield batch.filter(pa.array(_scores(batch[text_column].to_pylist(), declared, features, Machine(*shared.value)) >= threshold))
+                declared = [x if isinstance(x, int) else None for x in batch[chars].to_pylist()] if chars else [None] * batch.num_rows
+                yield batch.filter(pa.array(_scores(batch[text].to_pylist(), declared, features, Machine(*shared.value)) >= threshold))
 
-    return documents.mapInArrow(kept, documents.schema)
+    return rows.mapInArrow(kept, rows.schema).toDF(*documents.columns)
