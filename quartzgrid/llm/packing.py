@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quartzgrid.llm.common import WordTable, text_of
 from quartzgrid.llm.token_counts import LETTERS, UNUSUAL, byte_chars, load_tokenizer
+from quartzgrid.storage import picked
 
 #: Penalties, in tokens of padding: for the sequence itself, for a cut at a sentence's end, for one inside a sentence.
 SEQUENCE, SENTENCE, FORCED = 1, 6, 48
@@ -46,9 +47,11 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 2, length: int
 
     The tokenizer must drop white space (then the words between ASCII white space are tokenized on their own, each
     distinct one once for a worker). Order is that of the table; each partition is packed on its own and needs no
-    shuffle: at most the last sequence of a partition has padding that order doesn't force.
+    shuffle: at most the last sequence of a partition has padding that order doesn't force. Sequences are numbered from
+    their partition's number on, so a task that is run again gives the same pieces only if its rows come in the same
+    order again, as a table's do.
     """
-    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), text_of(F.col(text_column)).alias("text"))
+    docs = picked(documents, {"doc_id": id_column, "text": text_column}).select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"))
     return docs.mapInArrow(_packer(tokenizer_path, end_id, length, with_ids), PIECES + (", ids array<int>" if with_ids else ""))
 
 
@@ -112,7 +115,7 @@ class _Tokens:
     def __init__(self, path: str) -> None:
         self.tokenizer = load_tokenizer(path)
         self.model, self.chars = self.tokenizer.model, byte_chars()
-        self.ids = WordTable(self._ids, 800_000)
+        self.ids = WordTable(self._ids, 500_000)
 
     def _ids(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "surrogatepass")
