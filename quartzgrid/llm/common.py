@@ -45,8 +45,8 @@ class WordTable(dict):
         return value
 
 
-def word_hashes(seed: int) -> WordTable:
-    return WordTable(lambda w: xxhash.xxh3_64_intdigest(w, seed))
+def word_hashes(seed: int, most: int = 200_000) -> WordTable:
+    return WordTable(lambda w: xxhash.xxh3_64_intdigest(w, seed), most)
 
 
 class Powers:

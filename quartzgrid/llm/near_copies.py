@@ -1,11 +1,16 @@
 """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more.
 
-Extends the SimHash operator to similarities at which fingerprints differ in more bits than bands of whole blocks can
-guarantee. Pairs come from bands of least shingle hashes (a pair of similarity 0.8 misses all BANDS with a chance below
-2 in 10,000), the pivot table and the Hamming distance of the SimHash fingerprints discard most others, and what
-survives is verified on the whole shingle sets. Exact copies are one document before any of this. In a large band the
-members are first compared with its first document and with their neighbours; bands whose members are then still of
-several groups are compared in full, block by block, on the shingle sets alone.
+The SimHash operator at similarities at which fingerprints differ in more bits than blocks of 64 can guarantee. A text's
+fingerprint has WIDTH majority bits of its distinct shingles; sets of similarity 0.8 differ in 15 % of them, others in
+half. Candidates come from the fingerprints alone: each table takes some of the bits as a key (sampled bits in place of
+the operator's blocks), among the texts of a key the pivot table discards pairs whose distances to the references
+differ by more than the radius, the Hamming distance of two words of the fingerprints decides on the rest, and what
+survives is verified on the whole shingle sets. Bits and tables follow the number of texts, so that a key has about a
+thousand texts and a pair of similarity 0.8 misses all tables with a chance below 2 in 10,000.
+
+Exact copies are one document before any of this. Texts of a key that are linked by their fingerprints are a band. In a
+large band the members are first compared with its first document; bands whose members are then still of several groups
+are compared in full, block by block, on the shingle sets alone.
 """
 
 from __future__ import annotations
@@ -14,29 +19,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quartzgrid.llm.common import MASK64, Powers, mixed, rolling, text_of, word_hashes
 from quartzgrid.llm.components import Labels, components
-from quartzgrid.llm.simhash import PIVOTS, REFERENCES
+from quartzgrid.llm.simhash import CHUNK, pivot_table, whole_groups
 from quartzgrid.storage import Workspace, numbered, place_of
 
 SHINGLE_WORDS, MIN_SIMILARITY = 5, 0.8
-BANDS, ROWS = 12, 3
-#: Fingerprints of sets at similarity 0.8: 10 of 64 bits differ on average, with a standard deviation of 3.
-RADIUS = 22
-#: Smaller sets differ in more bits (4 of 5 shingles: 12 on average): their pairs go straight to the exact check.
-FEW_SHINGLES = 64
+#: Bits of a fingerprint, and the share of them in which two large sets of similarity 0.8 agree: 1 - acos(8 / 9) / pi.
+WIDTH, AGREE = 512, 0.8485
+#: Keys have as many bits as give a key 2 ** GROUP_BITS texts at most on average, LEAST_BITS at least; a pair of large sets
+#: of similarity 0.8 shares MEETINGS keys on average. Sets under SMALL shingles differ in more bits (4 and 5 shingles: 19 %)
+#: and have more tables.
+GROUP_BITS, LEAST_BITS, MEETINGS = 11, 5, 12
+SMALL, SMALL_MEETINGS = 64, 20
+#: Of two 64-bit words of the fingerprints, bits that may differ in the first and, in 64 of all compared, in the mean: at
+#: similarity 0.8, 10 of 64 do, with a standard deviation of 3 in one word and 2 in the mean of two.
+RADIUS, MEAN_RADIUS = 25, 19
+#: Pairs of still smaller sets go straight to the exact check.
+FEW_SHINGLES = 8
 #: Bands with at most so many documents give all their pairs at once; larger ones are compared in blocks.
 ALL_PAIRS = 32
 #: What a row of the list of rows that go takes in memory.
 _GONE_BYTES = 48
+#: What a row of the list of texts whose shingle sets are wanted takes in memory.
+_WANTED_BYTES = 80
 #: A block of a large band: at most so many shingles and documents (one more document may pass the first bound).
 BLOCK_SHINGLES, BLOCK_ROWS = 1 << 20, 1024
-CHUNK_WORDS = 400_000
-_SALTS = np.random.default_rng(7).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+#: Fingerprints that are compared with others as a matrix, bytes of text that are hashed at once, words whose hashes are kept.
+_CELLS, CHUNK_BYTES, WORDS_KEPT = 1 << 20, 1 << 20, 100_000
+_SALTS = np.random.default_rng(7).integers(0, 1 << 64, WIDTH // 64, dtype=np.uint64)
 
 
 def keep_one_of_each(documents: DataFrame, min_similarity: float = MIN_SIMILARITY, shingle_words: int = SHINGLE_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -46,23 +62,28 @@ def keep_one_of_each(documents: DataFrame, min_similarity: float = MIN_SIMILARIT
     one shingle of all); texts without words are copies of each other, null ones too. Groups are connected by links.
     Rows with a null id stay. Of repeated rows (equal id and text) one stays, the first by a hash of its columns. Rows
     with equal ids and other texts are documents of their own; if they are copies of each other one of them stays. Very
-    long texts are compared whole. An empty table stays empty. Other columns may have any name.
+    long texts are compared whole. An empty table stays empty. Other columns may have any name. The tables of keys are
+    laid out for similarities of MIN_SIMILARITY and more: a lower one is refused.
     """
+    if min_similarity < MIN_SIMILARITY:
+        raise ValueError(f"similarity below {MIN_SIMILARITY}")
     space = Workspace(documents.sparkSession, "copies")
     rows = numbered(documents)
     own_id, own_text = F.col(place_of(documents, id_column)), F.col(place_of(documents, text_column))
     docs = rows.where(own_id.isNotNull()).select(own_id.cast("long").alias("id"), F.xxhash64(text_of(own_text)).alias("version"), text_of(own_text).alias("text"))
-    marked = space.keep(docs.mapInArrow(_signatures(shingle_words), "id long, version long, s1 long, s2 long, fp long, n long, bands array<long>"), "marked")
+    marked = space.keep(docs.mapInArrow(_signatures(shingle_words), "id long, version long, s1 long, s2 long, fp binary, n long"), "marked")
     # A node is a text (128 bits of hash); the numbers are written with it.
-    distinct = marked.groupBy("s1", "s2").agg(F.min(F.struct("id", "version")).alias("first"), F.max("fp").alias("fp"), F.max("n").alias("n"), F.max("bands").alias("bands"))
+    distinct = marked.groupBy("s1", "s2").agg(F.min(F.struct("id", "version")).alias("first"), F.max("fp").alias("fp"), F.max("n").alias("n"))
     distinct = space.keep(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    keyed = distinct.select("node", "fp", "n", F.explode("bands").alias("key"))
-    pairs = space.keep(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates, "a long, b long").distinct(), "pairs")
+    keyed = distinct.select("node", "fp", "n").mapInArrow(_keys(*sampling(distinct.count())), "key long, node long, f0 long, f1 long, n long")
+    met = space.keep(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long, band long, n long"), "met")
+    pairs = space.keep(met.where("band IS NULL").select("a", "b").distinct(), "pairs")
     involved = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = space.keep(_sets(docs, distinct.join(involved, "node"), shingle_words), "sets")
+    sets = space.keep(_sets(docs, distinct.join(involved, "node"), shingle_words, space, "involved"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     stars = components(both.mapInArrow(_similar(min_similarity), "a long, b long"))
-    more = _large_bands(docs, distinct, keyed, stars, min_similarity, shingle_words, space)
+    bands = met.where("band IS NOT NULL").select(F.col("band").alias("key"), F.col("a").alias("node"), "n")
+    more = _large_bands(docs, distinct, bands, stars, min_similarity, shingle_words, space)
     if more is not None:
         stars = components(more.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     rooted = distinct.select("node", "s1", "s2", "first").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -74,7 +95,7 @@ def keep_one_of_each(documents: DataFrame, min_similarity: float = MIN_SIMILARIT
     gone = marked.select("id", "version", "s1", "s2").join(kept, ["s1", "s2"]).where("stays IS NULL OR id <> stays").select("id", "version").distinct()
     gone = space.keep(gone, "gone")
     repeated = not marked.groupBy("id", "version").count().where("count > 1").isEmpty()
-    space.drop("marked", "distinct", "pairs", "sets", "named", "members", "cells", "more", "kept")
+    space.drop("marked", "distinct", "met", "pairs", "involved", "sets", "named", "members", "unlike", "cells", "more", "kept")
     same = (own_id.cast("long") == F.col("id")) & (F.xxhash64(text_of(own_text)) == F.col("version"))
     left = rows.join(F.broadcast(gone) if space.small("gone", _GONE_BYTES) else gone, same, "left_anti")
     if repeated:
@@ -85,20 +106,19 @@ def keep_one_of_each(documents: DataFrame, min_similarity: float = MIN_SIMILARIT
     return left.toDF(*documents.columns)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, shingles) of the texts, each read where it occurs first."""
-    wanted = nodes.select("node", F.col("first.id").alias("id"), F.col("first.version").alias("version"))
-    return docs.join(wanted, ["id", "version"]).dropDuplicates(["node"]).select("node", "text").mapInArrow(_shingle_sets(shingle_words), "node long, shingles binary")
+def _sets(docs: DataFrame, nodes: DataFrame, shingle_words: int, space: Workspace, name: str) -> DataFrame:
+    """(node, shingles) of the texts, each read where it occurs first. Texts stay where they are if the list of nodes is small."""
+    wanted = space.keep(nodes.select("node", F.col("first.id").alias("id"), F.col("first.version").alias("version")), name)
+    return docs.join(F.broadcast(wanted) if space.small(name, _WANTED_BYTES) else wanted, ["id", "version"]).dropDuplicates(["node"]).select("node", "text").mapInArrow(_shingle_sets(shingle_words), "node long, shingles binary")
 
 
-def _large_bands(docs: DataFrame, distinct: DataFrame, keyed: DataFrame, stars: DataFrame, least: float, shingle_words: int, space: Workspace) -> DataFrame | None:
-    """Links (a, b) between the groups that `stars` leaves in bands of more than ALL_PAIRS texts; None without such bands.
+def _large_bands(docs: DataFrame, distinct: DataFrame, bands: DataFrame, stars: DataFrame, least: float, shingle_words: int, space: Workspace) -> DataFrame | None:
+    """Links (a, b) between the groups that `stars` leaves in `bands` (key, node, n), those of over ALL_PAIRS texts; None without any.
 
     A band's texts, by number of shingles, are cut into blocks; each two blocks that hold different groups and sizes
     near enough meet in one place. One link leaves it for each two groups joined there, never all pairs.
     """
-    large = keyed.groupBy("key").count().where(F.col("count") > ALL_PAIRS).select("key")
-    named = keyed.select("key", "node", "n").join(large, "key").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = bands.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = space.keep(named, "named")
     open_bands = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     weight = F.greatest(F.col("n"), F.lit(BLOCK_SHINGLES // BLOCK_ROWS))
@@ -111,7 +131,7 @@ def _large_bands(docs: DataFrame, distinct: DataFrame, keyed: DataFrame, stars:
     met = p.join(q, "key").where((F.col("block_p") <= F.col("block_q")) & (F.col("high_p") >= least * F.col("low_q") - 1e-9))
     cells = space.keep(met.where("least(x_p, x_q) <> greatest(y_p, y_q)").select("key", F.col("block_p").alias("p"), F.col("block_q").alias("q")), "cells")
     sides = cells.select("key", "p", "q", F.col("p").alias("block")).unionByName(cells.select("key", "p", "q", F.col("q").alias("block"))).distinct()
-    sets = _sets(docs, distinct.join(members.select("node").distinct(), "node"), shingle_words)
+    sets = _sets(docs, distinct.join(members.select("node").distinct(), "node"), shingle_words, space, "unlike")
     dealt = members.join(sides, ["key", "block"]).join(sets, "node").select("key", "p", "q", "block", "node", "root", "shingles")
     return space.keep(dealt.groupBy("key", "p", "q").applyInArrow(_block_links(least), "a long, b long").distinct(), "more")
 
@@ -166,7 +186,7 @@ class _Shingles:
     """Hashes of the distinct shingles of many texts, one text after another, each text's in order; each has at least one."""
 
     def __init__(self, size: int) -> None:
-        self.size, self.hashes, self.powers = size, word_hashes(5), Powers()
+        self.size, self.hashes, self.powers = size, word_hashes(5, WORDS_KEPT), Powers()
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, begin of each text's)."""
@@ -185,15 +205,31 @@ class _Shingles:
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    texts = [t.encode("utf-8", "surrogatepass").lower() for t in batch["text"].to_pylist()]
-    begin = size = 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size > 6 * CHUNK_WORDS:
-            yield batch.slice(begin, k + 1 - begin), texts[begin : k + 1]
-            begin, size = k + 1, 0
-    if begin < len(texts):
-        yield batch.slice(begin), texts[begin:]
+    """Parts of a batch with at most CHUNK_BYTES of text, or of one row; only one part's texts are Python objects at a time."""
+    ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(ends):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, "right")))
+        part = batch.slice(begin, end - begin)
+        yield part, [t.encode("utf-8", "surrogatepass").lower() for t in part["text"].to_pylist()]
+        begin = end
+
+
+def fingerprints(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """WIDTH majority bits of each text's distinct shingles, as rows of 64-bit words: a bit is 1 if it is set in over half of them."""
+    counts = np.diff(np.append(begins, len(hashes)))
+    runs = -(-counts // 255)
+    first = np.cumsum(runs) - runs
+    starts = np.repeat(begins - 255 * first, runs) + 255 * np.arange(runs.sum())
+    out = np.empty((len(begins), WIDTH // 64), np.uint64)
+    for k, salt in enumerate(_SALTS):
+        bits = np.unpackbits(mixed(hashes ^ salt).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        # Eight counters in a word: none overflows in 255 shingles.
+        counters = np.add.reduceat(bits.view(np.uint64), starts, axis=0)
+        sums = np.add.reduceat(counters.view(np.uint8), first, axis=0, dtype=np.int64)
+        out[:, k] = np.packbits(2 * sums > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
 
 
 def _signatures(size: int):
@@ -204,46 +240,115 @@ def _signatures(size: int):
         for whole in batches:
             for batch, texts in _chunks(whole):
                 hashes, begins = shingles.of(texts)
-                bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                sums = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
+                fps = [x.tobytes() for x in fingerprints(hashes, begins)]
                 counts = np.diff(np.append(begins, len(hashes)))
-                fps = np.packbits(2 * sums > counts[:, None], axis=1, bitorder="little").view("<i8").ravel()
-                bands = np.empty((len(texts), BANDS), np.uint64)
-                for band in range(BANDS):
-                    key = np.full(len(texts), band + 1, np.uint64)
-                    for row in range(ROWS):
-                        salted = (hashes ^ _SALTS[band * ROWS + row]) * np.uint64(0x9FB21C651E98DF25)
-                        key = mixed(key ^ np.minimum.reduceat(salted ^ (salted >> np.uint64(32)), begins))
-                    bands[:, band] = key
                 same = [xxhash.xxh3_128_intdigest(b" ".join(t.split())) for t in texts]
                 s1, s2 = (np.array([x >> k & MASK64 for x in same], np.uint64).view(np.int64) for k in (64, 0))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch["id"], batch["version"], pa.array(s1), pa.array(s2), pa.array(fps), pa.array(counts), lists], names=["id", "version", "s1", "s2", "fp", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([batch["id"], batch["version"], pa.array(s1), pa.array(s2), pa.array(fps, pa.binary()), pa.array(counts)], names=["id", "version", "s1", "s2", "fp", "n"])
 
     return run
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and node -> pairs that share a key and have few shingles or are near by the pivot table and the fingerprints.
+def sampling(texts: int) -> tuple[int, int, int]:
+    """(bits of a key, tables, tables for small sets) for so many texts."""
+    bits = max(LEAST_BITS, (texts - 1).bit_length() - GROUP_BITS)
+    return bits, *(int(np.ceil(n / AGREE**bits)) for n in (MEETINGS, SMALL_MEETINGS))
 
-    Works on the stream: the head of a key's rows and its last rows are carried over from batch to batch.
-    """
-    carried: tuple[np.ndarray, ...] | None = None
-    for batch in batches:
-        if not batch.num_rows:
+
+def _keys(bits: int, tables: int, small_tables: int):
+    places = np.random.default_rng(19).permuted(np.tile(np.arange(WIDTH), (small_tables, 1)), axis=1)[:, :bits]
+    weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                fps = np.frombuffer(b"".join(batch["fp"].to_pylist()), np.uint64).reshape(-1, WIDTH // 64)
+                own = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
+                counts = batch["n"].to_numpy()
+                small = np.flatnonzero(counts < SMALL)
+                at = np.concatenate([np.tile(np.arange(len(own)), tables), np.tile(small, small_tables - tables)])
+                keys = [(np.int64(t) << np.int64(bits)) + (own if t < tables else own[small])[:, p] @ weights for t, p in enumerate(places)]
+                others = (batch["node"].to_numpy(), fps[:, 0].view(np.int64), fps[:, 1].view(np.int64), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(pa.array(x[at]) for x in others)], names=["key", "node", "f0", "f1", "n"])
+
+    return run
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key -> pairs (a, b) that may be near copies, and the members (a, band, n) of large bands."""
+    for keys, ids, f0, f1, counts in whole_groups(batches, "key", ("node", "f0", "f1", "n"), CHUNK):
+        if not len(keys):
             continue
-        keys, ids, fps, counts = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "node", "fp", "n"))
-        if carried is not None:
-            keys, ids, fps, counts = (np.concatenate([old, new]) for old, new in zip(carried, (keys, ids, fps, counts)))
-        pairs = _band_pairs(keys, ids, fps.view(np.uint64), counts)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-        own = np.flatnonzero(keys == keys[-1])
-        own = own if len(own) <= ALL_PAIRS else np.append(own[:1], own[-ALL_PAIRS + 1 :])
-        carried = (keys[own], ids[own], fps[own], counts[own])
+        fps = np.stack([f0, f1], axis=1).view(np.uint64)
+        bands = _bands(keys, fps, counts)
+        order = np.lexsort((ids, bands))
+        bands, ids, fps, counts, keys = (x[order] for x in (bands, ids, fps, counts, keys))
+        pairs = _band_pairs(bands, ids, fps, counts)
+        _, begins, inverse, sizes = np.unique(bands, return_index=True, return_inverse=True, return_counts=True)
+        large = np.flatnonzero(sizes[inverse] > ALL_PAIRS)
+        # A band's number: of its key and its first text.
+        numbers = mixed(mixed(keys[large].view(np.uint64)) ^ ids[begins[inverse[large]]].view(np.uint64)).view(np.int64)
+        for k in range(0, len(pairs), CHUNK):
+            part = pairs[k : k + CHUNK]
+            nothing = pa.nulls(len(part), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), nothing, nothing], names=["a", "b", "band", "n"])
+        if len(large):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[large]), pa.nulls(len(large), pa.int64()), pa.array(numbers), pa.array(counts[large])], names=["a", "b", "band", "n"])
+
+
+def _bands(keys: np.ndarray, fps: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each row the least row that it is connected with by pairs of equal keys that may be near copies."""
+    bands = np.empty(len(keys), np.int64)
+    begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    for begin, end in zip(begins, np.append(begins[1:], len(keys))):
+        bands[begin:end] = begin + _linked(fps[begin:end], counts[begin:end])
+    return bands
+
+
+def _linked(fps: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    labels, table = Labels(len(fps)), pivot_table(fps[:, 0])
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        apart = labels.of[a] != labels.of[b]
+        a, b = a[apart], b[apart]
+        near = _near(a, b, fps, table, counts)
+        labels.join(a[near], b[near])
+
+    order = np.argsort(table[:, 0], kind="stable")
+    own, first, second = fps[order, 0], table[order, 0], table[order, 1]
+    step = max(1, _CELLS // len(order))
+    for k in range(0, len(order), step):
+        # In the order of the first coordinate, later rows beyond the radius in it end the block's range.
+        last = min(k + step, len(order))
+        stop = int(np.searchsorted(first, first[last - 1] + RADIUS, side="right"))
+        close = np.bitwise_count(own[k:last, None] ^ own[None, k:stop]) <= RADIUS
+        close &= np.abs(second[k:last, None] - second[None, k:stop]) <= RADIUS
+        a, b = np.nonzero(close)
+        later = a < b
+        join(order[k + a[later]], order[k + b[later]])
+    small = np.flatnonzero(counts < FEW_SHINGLES)
+    step = max(1, _CELLS // max(1, len(small)))
+    for k in range(0, len(small), step):
+        a, b = np.nonzero(np.arange(k, min(k + step, len(small)))[:, None] < np.arange(len(small))[None, :])
+        join(small[k + a], small[b])
+    return labels.of
+
+
+def _near(a: np.ndarray, b: np.ndarray, fps: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whether rows a and b may be near copies, by the numbers of their shingles, the pivot table and the fingerprints."""
+    least, most = np.minimum(counts[a], counts[b]), np.maximum(counts[a], counts[b])
+    own = np.bitwise_count(fps[a] ^ fps[b])
+    # Sets of one size below 9 are that similar only if they are equal.
+    few = (most < FEW_SHINGLES) & ((least < most) | ~own.any(axis=1))
+    near = (own[:, 0] <= RADIUS) & (own.sum(axis=1, dtype=np.int64) <= MEAN_RADIUS * own.shape[1] + 2 * (most < SMALL))
+    near &= (np.abs(table[a] - table[b]) <= RADIUS).all(axis=1)
+    return (near | few) & (least >= MIN_SIMILARITY * most - 1e-9)
 
 
 def _band_pairs(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Pairs (a, b) that may be near copies of rows sorted by key and id: all of bands of up to ALL_PAIRS, else those with the first."""
+    fps = fps.reshape(len(keys), -1)
     begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     sizes = np.diff(np.append(begins, len(keys)))
     head, size = np.repeat(begins, sizes), np.repeat(sizes, sizes)
@@ -251,18 +356,13 @@ def _band_pairs(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, counts: np.n
     left, right = [head[every > head]], [every[every > head]]
     for step in range(1, ALL_PAIRS):
         at = every[step:]
-        at = at[(at - step > head[at]) & ((size[at] <= ALL_PAIRS) | (step <= 2))]
-        if not len(at) and step > 2:
+        at = at[(at - step > head[at]) & (size[at] <= ALL_PAIRS)]
+        if not len(at):
             break
         left.append(at - step)
         right.append(at)
     a, b = np.concatenate(left), np.concatenate(right)
-    few = counts < FEW_SHINGLES
-    table = np.bitwise_count(fps[:, None] ^ REFERENCES[None, :]).astype(np.int8)
-    for k in range(0, PIVOTS, 4):
-        near = (np.abs(table[a, k : k + 4] - table[b, k : k + 4]) <= RADIUS).all(axis=1) | few[a] | few[b]
-        a, b = a[near], b[near]
-    near = ((np.bitwise_count(fps[a] ^ fps[b]) <= RADIUS) | few[a] | few[b]) & (ids[a] != ids[b])
+    near = _near(a, b, fps, pivot_table(fps[:, 0]), counts) & (ids[a] != ids[b])
     pairs = np.stack([np.minimum(ids[a], ids[b])[near], np.maximum(ids[a], ids[b])[near]], axis=1)
     return np.unique(pairs, axis=0) if len(pairs) else pairs
 

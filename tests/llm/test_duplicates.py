@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from quartzgrid.llm import line_dedup, near_copies, simhash, substring_dedup
@@ -257,3 +258,47 @@ def test_near_copies_lose_no_pair_of_a_shared_template(spark):
         rows += [(2 * k, f"{common} {' '.join(own)}", *[None] * 7), (2 * k + 1, f"{common} {' '.join(other)}", *[None] * 7)]
     rng.shuffle(rows)
     assert near_copies.keep_one_of_each(frame(spark, rows)).count() == 1500
+
+
+def pairs_at_the_bound(rng, pairs):
+    """Shingle sets two by two at a similarity of 0.8 or just above: of equal sizes, or one within the other, 4 of 5 at least."""
+    sets = []
+    for k in range(pairs):
+        one = rng.choice([0, 0, 1, 2, 5, 20])  # what each has alone; without, the larger holds the smaller
+        shared = 8 * one or rng.choice([4, 8, 40, 200])
+        extra = (one, one) if one else (0, shared // 4)
+        common = [rng.getrandbits(64) for _ in range(shared)]
+        sets += [np.unique(np.array(common + [rng.getrandbits(64) for _ in range(n)], np.uint64)) for n in extra]
+    return sets
+
+
+def found_by_fingerprints(sets, sampling):
+    """Pairs of candidates, and the members of each large band (of which all pairs are compared)."""
+    sizes = np.array([len(x) for x in sets])
+    fps = near_copies.fingerprints(np.concatenate(sets), np.cumsum(sizes) - sizes)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(sets))), pa.array([x.tobytes() for x in fps]), pa.array(sizes)], names=["node", "fp", "n"])
+    keyed = pa.Table.from_batches(near_copies._keys(*sampling)(iter([batch]))).sort_by("key").combine_chunks()
+    met = pa.Table.from_batches(near_copies._candidates(iter(keyed.to_batches(max_chunksize=5000)))).to_pydict()
+    pairs, bands = set(), {}
+    for a, b, band in zip(met["a"], met["b"], met["band"]):
+        pairs.add((a, b)) if band is None else bands.setdefault(a, set()).add(band)
+    return pairs, bands
+
+
+def test_fingerprints_alone_find_the_pairs():
+    sets = pairs_at_the_bound(random.Random(17), 1500)
+    for sampling in (near_copies.sampling(len(sets)), near_copies.sampling(200_000)):
+        pairs, bands = found_by_fingerprints(sets, sampling)
+        assert all((k, k + 1) in pairs or bands.get(k, set()) & bands.get(k + 1, set()) for k in range(0, len(sets), 2))
+        assert len([p for p in pairs if len(sets[p[0]]) >= near_copies.FEW_SHINGLES and p[0] // 2 != p[1] // 2]) < len(sets) // 10
+
+
+def test_fingerprints_are_majorities_of_distinct_shingles():
+    rng = random.Random(18)
+    sets = [np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)) for n in (1, 2, 3, 254, 255, 256, 511, 1000)]
+    sizes = np.array([len(x) for x in sets])
+    got = near_copies.fingerprints(np.concatenate(sets), np.cumsum(sizes) - sizes)
+    for own, fp in zip(sets, got):
+        for k, salt in enumerate(near_copies._SALTS):
+            values = near_copies.mixed(own ^ salt).tolist()
+            assert int(fp[k]) == sum(1 << bit for bit in range(64) if 2 * sum(v >> bit & 1 for v in values) > len(own))
