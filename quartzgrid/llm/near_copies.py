@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quartzgrid.llm.common import MASK64, Powers, mixed, rolling, text_of, word_hashes
+from quartzgrid.llm.common import MASK64, Powers, mixed, returning_memory, rolling, text_of, word_hashes
 from quartzgrid.llm.components import Labels, components
 from quartzgrid.llm.simhash import CHUNK, pivot_table, whole_groups
 from quartzgrid.storage import Workspace, numbered, place_of
@@ -71,17 +71,17 @@ def keep_one_of_each(documents: DataFrame, min_similarity: float = MIN_SIMILARIT
     rows = numbered(documents)
     own_id, own_text = F.col(place_of(documents, id_column)), F.col(place_of(documents, text_column))
     docs = rows.where(own_id.isNotNull()).select(own_id.cast("long").alias("id"), F.xxhash64(text_of(own_text)).alias("version"), text_of(own_text).alias("text"))
-    marked = space.keep(docs.mapInArrow(_signatures(shingle_words), "id long, version long, s1 long, s2 long, fp binary, n long"), "marked")
+    marked = space.keep(docs.mapInArrow(returning_memory(_signatures(shingle_words)), "id long, version long, s1 long, s2 long, fp binary, n long"), "marked")
     # A node is a text (128 bits of hash); the numbers are written with it.
     distinct = marked.groupBy("s1", "s2").agg(F.min(F.struct("id", "version")).alias("first"), F.max("fp").alias("fp"), F.max("n").alias("n"))
     distinct = space.keep(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    keyed = distinct.select("node", "fp", "n").mapInArrow(_keys(*sampling(distinct.count())), "key long, node long, f0 long, f1 long, n long")
-    met = space.keep(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long, band long, n long"), "met")
+    keyed = distinct.select("node", "fp", "n").mapInArrow(returning_memory(_keys(*sampling(distinct.count()))), "key long, node long, f0 long, f1 long, n long")
+    met = space.keep(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(returning_memory(_candidates), "a long, b long, band long, n long"), "met")
     pairs = space.keep(met.where("band IS NULL").select("a", "b").distinct(), "pairs")
     involved = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = space.keep(_sets(docs, distinct.join(involved, "node"), shingle_words, space, "involved"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    stars = components(both.mapInArrow(_similar(min_similarity), "a long, b long"))
+    stars = components(both.mapInArrow(returning_memory(_similar(min_similarity)), "a long, b long"))
     bands = met.where("band IS NOT NULL").select(F.col("band").alias("key"), F.col("a").alias("node"), "n")
     more = _large_bands(docs, distinct, bands, stars, min_similarity, shingle_words, space)
     if more is not None:
@@ -109,7 +109,7 @@ def keep_one_of_each(documents: DataFrame, min_similarity: float = MIN_SIMILARIT
 def _sets(docs: DataFrame, nodes: DataFrame, shingle_words: int, space: Workspace, name: str) -> DataFrame:
     """(node, shingles) of the texts, each read where it occurs first. Texts stay where they are if the list of nodes is small."""
     wanted = space.keep(nodes.select("node", F.col("first.id").alias("id"), F.col("first.version").alias("version")), name)
-    return docs.join(F.broadcast(wanted) if space.small(name, _WANTED_BYTES) else wanted, ["id", "version"]).dropDuplicates(["node"]).select("node", "text").mapInArrow(_shingle_sets(shingle_words), "node long, shingles binary")
+    return docs.join(F.broadcast(wanted) if space.small(name, _WANTED_BYTES) else wanted, ["id", "version"]).dropDuplicates(["node"]).select("node", "text").mapInArrow(returning_memory(_shingle_sets(shingle_words)), "node long, shingles binary")
 
 
 def _large_bands(docs: DataFrame, distinct: DataFrame, bands: DataFrame, stars: DataFrame, least: float, shingle_words: int, space: Workspace) -> DataFrame | None:

@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzgrid.llm.common import WordTable, text_of
+from quartzgrid.llm.common import WordTable, returning_memory, text_of
 from quartzgrid.storage import numbered, picked, place_of
 
 #: Buckets of hashed words, factors of a feature, and rows of the bounded training sample.
 BUCKETS, FACTORS, SAMPLE_ROWS = 1 << 13, 8, 8000
 EPOCHS, BATCH, RATE, DECAY = 8, 256, 0.03, 1e-4
 FOLDS, HELD_OUT = 5, 0
+#: Rows that keep_good takes at once.
+KEPT_ROWS = 512
 
 _SYMBOLS = b"#$%&*@^~<>{}[]\\_=+"
 _FLAGS = ("upper", "shout", "symbol", "pipe", "digit", "title", "tagged")
@@ -223,9 +225,9 @@ def keep_good(documents: DataFrame, machine: Machine, threshold: float = 0.3, te
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for batch in batches:
+        for batch in (whole.slice(k, KEPT_ROWS) for whole in batches for k in range(0, whole.num_rows, KEPT_ROWS)):
             if batch.num_rows:
                 declared = [x if isinstance(x, int) else None for x in batch[chars].to_pylist()] if chars else [None] * batch.num_rows
                 yield batch.filter(pa.array(_scores(batch[text].to_pylist(), declared, features, Machine(*shared.value)) >= threshold))
 
-    return rows.mapInArrow(kept, rows.schema).toDF(*documents.columns)
+    return rows.mapInArrow(returning_memory(kept), rows.schema).toDF(*documents.columns)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from quartzgrid.llm import line_dedup, near_copies, simhash, substring_dedup
+from quartzgrid.llm import common, line_dedup, near_copies, simhash, substring_dedup
 from quartzgrid.llm.components import components as component_steps
 from tests.llm.helpers import components, empty, frame, odd_rows
 
@@ -302,3 +302,19 @@ def test_fingerprints_are_majorities_of_distinct_shingles():
         for k, salt in enumerate(near_copies._SALTS):
             values = near_copies.mixed(own ^ salt).tolist()
             assert int(fp[k]) == sum(1 << bit for bit in range(64) if 2 * sum(v >> bit & 1 for v in values) > len(own))
+
+
+def test_texts_are_hashed_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(near_copies, "CHUNK_BYTES", 100)
+    texts = ["é" * n for n in (10, 40, 5, 300, 0, 0, 1, 49, 50, 50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = [(part.num_rows, own) for part, own in near_copies._chunks(batch.slice(1))]
+    assert [t for _, own in parts for t in own] == [t.encode() for t in texts[1:]]
+    assert all(n == len(own) and (n == 1 or sum(map(len, own)) <= 100) for n, own in parts)
+
+
+def test_memory_is_given_back_after_the_last_batch(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    through = common.returning_memory(lambda batches: (b for b in batches))(iter([1, 2]))
+    assert [next(through), given, next(through), given] == [1, [], 2, []] and list(through) == [] and given == [1]
