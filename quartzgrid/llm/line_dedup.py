@@ -28,6 +28,8 @@ from quartzgrid.storage import Workspace, free_name, numbered, place_of
 MIN_WORDS = 8
 #: What a row of the tables that may be broadcast takes in memory.
 _HALF_BYTES, _MARK_BYTES, _DOCUMENT_BYTES = 40, 96, 160
+#: Bits of the set of documents that lose lines.
+_PLACES = 1 << 22
 
 
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text", counts: tuple[str, str] | None = None, length_column: str | None = None) -> DataFrame:
@@ -51,7 +53,11 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_column: str
     gone = space.keep(removed.groupBy("id", "version").agg(F.collect_set("line").alias("gone")), "gone")
     space.drop("hashed", "marks")
     joined = rows.withColumns({"own_id": own_id.cast("long"), "own_version": F.xxhash64(text_of(own_text))})
-    joined = joined.join(gone, (F.col("own_id") == F.col("id")) & (F.col("own_version") == F.col("version")), "left")
+    # Only documents that may lose lines meet their list by a shuffle; the others stay where they are read.
+    joined = joined.join(F.broadcast(space.keep(_places(gone), "places")), F.shiftright(_place("own_id", "own_version"), 6) == F.col("slot"), "left")
+    may = F.coalesce(F.getbit("bits", _place("own_id", "own_version").bitwiseAND(63)), F.lit(0)) == 1
+    met = joined.where(may).join(gone, (F.col("own_id") == F.col("id")) & (F.col("own_version") == F.col("version")), "left")
+    joined = met.select(*rows.columns, "gone").unionByName(joined.where(~may).select(*rows.columns, F.lit(None).cast("array<int>").alias("gone")))
     lines = F.split(text_of(own_text), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), own_text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
@@ -68,6 +74,16 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_column: str
     return joined.toDF(*columns, first, free_name([*columns, first], counts[1]))
 
 
+def _place(id_column: str, version: str) -> Column:
+    return F.xxhash64(id_column, version).bitwiseAND(F.lit(_PLACES - 1))
+
+
+def _places(gone: DataFrame) -> DataFrame:
+    """(slot, bits): a set of _PLACES bits in words of 64, set at the places of the documents; its size is bounded."""
+    place = _place("id", "version")
+    return gone.groupBy(F.shiftright(place, 6).alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("bits"))
+
+
 def removed_lines(docs: DataFrame, min_words: int, space: Workspace) -> DataFrame:
     """docs(id, version, text) -> (id, version, line) of the lines to remove, lines numbered from 0."""
     hashed = space.keep(_lines(docs).select("id", "version", "line", *_names(F.col("words")), _halves(F.col("words"), min_words).alias("halves")), "hashed")

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from quartzgrid.llm import common, line_dedup, near_copies, simhash, substring_dedup
 from quartzgrid.llm.components import components as component_steps
@@ -318,3 +319,11 @@ def test_memory_is_given_back_after_the_last_batch(monkeypatch):
     monkeypatch.setattr(common, "give_back", lambda: given.append(1))
     through = common.returning_memory(lambda batches: (b for b in batches))(iter([1, 2]))
     assert [next(through), given, next(through), given] == [1, [], 2, []] and list(through) == [] and given == [1]
+
+
+def test_places_of_documents_that_lose_lines(spark):
+    """The places of 300 documents: each is set, and few others are."""
+    own, other = (spark.range(k, k + 300).select("id", (F.col("id") * 7).alias("version")) for k in (0, 1000))
+    places = {r.slot: r.bits % 2**64 for r in line_dedup._places(own).collect()}
+    set_at = lambda df: [places.get(r.p >> 6, 0) >> (r.p & 63) & 1 for r in df.select(line_dedup._place("id", "version").alias("p")).collect()]
+    assert sum(set_at(own)) == 300 and sum(set_at(other)) < 10
