@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from codecs import charmap_decode
 from collections import deque
 from collections.abc import Iterator
 
@@ -31,6 +32,8 @@ SEQUENCE, SENTENCE, FORCED = 1, 6, 48
 LONGEST = 512
 #: Tokens that one run of the dynamic programme sees; its last sequence goes on into the next run.
 RUN_TOKENS = 1_000_000
+#: Characters of the texts whose boundaries are computed at once.
+GROUP_CHARS = 200_000
 #: Bytes that end a sentence when a word ends in them.
 SENTENCE_ENDS = (b".", b"!", b"?", b".\"", b"!\"", b"?\"", b".)", "…".encode(), "。".encode())
 
@@ -61,28 +64,26 @@ def best_cuts(positions: np.ndarray, penalties: np.ndarray, length: int) -> list
     Gaps between positions are at most `length`. penalties[j] is the cost of a cut at positions[j].
     """
     at, cost = positions.tolist(), penalties.tolist()
-    exact: dict[int, list[int]] = {}  # starts of the sequences of a power of two that end at a boundary
-    for power in (1 << k for k in range(length.bit_length()) if 1 << k <= length):
-        k = np.minimum(np.searchsorted(positions, positions - power), len(positions) - 1)
-        hits = np.flatnonzero(positions[k] == positions - power)
-        for j, start in zip(hits.tolist(), k[hits].tolist()):
-            exact.setdefault(j, []).append(start)
+    exact, starts = _powers_of_two(positions, length)
     f, back = [0.0] * len(at), [0] * len(at)
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # f(i) + at[i], ascending from the front
+    queue, p = deque([0]), 0
+    raised = [0.0] * len(at)  # f(i) + at[i]; along the queue it ascends from the front
     for j in range(1, len(at)):
         here = at[j]
-        while at[queue[0][1]] < here - length:
+        while at[queue[0]] < here - length:
             queue.popleft()
-        value, start = queue[0]
-        best = value + length - here
-        for k in exact.get(j, ()):
+        start = queue[0]
+        best = raised[start] + length - here
+        while exact[p] == j:
+            k = starts[p]
             if f[k] < best:
                 best, start = f[k], k
+            p += 1
         f[j], back[j] = best + cost[j] + SEQUENCE, start
-        value = f[j] + here
-        while queue and queue[-1][0] >= value:
+        raised[j] = value = f[j] + here
+        while queue and raised[queue[-1]] >= value:
             queue.pop()
-        queue.append((value, j))
+        queue.append(j)
     ends, j = [], len(at) - 1
     while j:
         ends.append(j)
@@ -90,6 +91,20 @@ def best_cuts(positions: np.ndarray, penalties: np.ndarray, length: int) -> list
     return ends[::-1]
 
 
+def _powers_of_two(positions: np.ndarray, length: int) -> tuple[list[int], list[int]]:
+    """Ends and starts of all sequences of a power of two, by ends, the shortest first; after them an end that is none."""
+    ends, starts = [], []
+    for power in (1 << k for k in range(length.bit_length()) if 1 << k <= length):
+        before = positions - power
+        k = np.minimum(np.searchsorted(positions, before), len(positions) - 1)
+        hits = np.flatnonzero(positions[k] == before)
+        ends.append(hits)
+        starts.append(k[hits])
+    every = np.concatenate(ends)
+    order = np.argsort(every, kind="stable")
+    return [*every[order].tolist(), -1], np.concatenate(starts)[order].tolist()
+
+
 def in_powers(start: int, end: int) -> list[int]:
     """Ends of the sequences of powers of two, largest first, that [start, end) falls into."""
     ends = []
@@ -103,56 +118,75 @@ def in_powers(start: int, end: int) -> list[int]:
 PART = re.compile(f"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
 #: Words that hold others, an apostrophe (contractions are parts of their own) or a special string take the whole tokenizer.
 OTHER = re.compile(f"[^\x21-\x26\x28-\x7e{LETTERS}]|İ|<[|]")
-#: Two marks side by side are one part; only where there are none can points and commas be set apart beforehand.
-SIDE_BY_SIDE = re.compile(rb"[^\sa-z0-9\x80-\xff]{2}|'")
+#: Words of these letters alone are one part (the lower case of İ is two characters, one no letter).
+WORD = re.compile(f"[{LETTERS}]+")
+#: Bytes as marks: "!", an apostrophe as itself, anything that is no mark as a space. Two marks side by side are one part;
+#: only where there are none can points and commas be set apart beforehand.
+MARKS = re.sub(rb"[^\sa-z0-9\x80-\xff']", b"!", re.sub(rb"[\sa-z0-9\x80-\xff]", b" ", bytes(range(256))))
 
 
 class _Tokens:
-    """Ids of words as bytes; after a word that ends a sentence a mark follows that is no id."""
+    """Ids of words as bytes; after a word that ends a sentence a mark follows that is no id, after a text another one."""
 
-    MARK = 0xFFFFFFFF
+    MARK, END = 0xFFFFFFFF, 0xFFFFFFFE
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load_tokenizer(path)
-        self.model, self.chars = self.tokenizer.model, byte_chars()
+        self.cut_up = self.tokenizer.model.tokenize
+        self.chars = "".join(c for _, c in sorted(byte_chars().items()))
         self.ids = WordTable(self._ids, 500_000)
 
     def _ids(self, word: bytes) -> bytes:
+        """Letters need only the vocabulary's merges; in it, bytes of ASCII letters stand for themselves. The empty word ends a text."""
+        if not word:
+            return _as_bytes([self.END])
+        if word.isalpha():
+            return _as_bytes([x.id for x in self.cut_up(word.lower().decode())])
         text = word.decode("utf-8", "surrogatepass")
+        if WORD.fullmatch(text) and "İ" not in text:
+            return _as_bytes([x.id for x in self.cut_up(charmap_decode(text.lower().encode(), "strict", self.chars)[0])])
         if OTHER.search(text):
             out = self._encoded(text)
         else:
             parts = PART.findall(text)
-            out = b"".join(map(self._part, parts)) if len(parts) == 1 else b"".join(self.ids[p.encode()].removesuffix(b"\xff\xff\xff\xff") for p in parts)
+            out = self._encoded(text) if len(parts) == 1 else b"".join([self.ids[p.encode()].removesuffix(b"\xff\xff\xff\xff") for p in parts])
         return out + b"\xff\xff\xff\xff" if word.endswith(SENTENCE_ENDS) else out
 
-    def _part(self, text: str) -> bytes:
-        """Letters need only the vocabulary's merges."""
-        if not text.isalpha():
-            return self._encoded(text)
-        return _as_bytes([x.id for x in self.model.tokenize(text.lower().encode().decode("latin1").translate(self.chars))])
-
     def _encoded(self, text: str) -> bytes:
         return _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def of(self, text: str, end_id: int, longest: int = LONGEST) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The ids, the token offsets of its boundaries (its end is the last) and their penalties."""
-        marked = np.frombuffer(b"".join(map(self.ids.__getitem__, lowered_words(text))), "<u4")
-        stop = marked == self.MARK
-        own = np.flatnonzero(stop)
-        own -= np.arange(len(own))
-        n = len(marked) - len(own) + 1
-        own = np.append(own[(own > 0) & (own < n - 1)], n)
-        gaps = np.diff(own, prepend=0)
-        own, gaps = own[gaps > 0], gaps[gaps > 0]
-        penalties = np.full(len(own), float(SENTENCE))
+        return next(self.each([text], end_id, longest))
+
+    def each(self, texts: list[str], end_id: int, longest: int = LONGEST) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+        """What of() says of each text; the offsets are those of all texts in a row until the texts are told apart."""
+        words: list[bytes] = []
+        for text in texts:
+            words += lowered_words(text)
+            words.append(b"")
+        marked = np.frombuffer(b"".join(map(self.ids.__getitem__, words)), "<u4")
+        stops, lasts = np.flatnonzero(marked == self.MARK), np.flatnonzero(marked == self.END)
+        ids = marked[marked != self.MARK]
+        ends = lasts - np.searchsorted(stops, lasts) + 1
+        ids[ends - 1] = end_id
+        own, text_of_stop = stops - np.arange(len(stops)), np.searchsorted(lasts, stops)
+        starts = np.concatenate([[0], ends[:-1]])
+        own = own[(own > starts[text_of_stop]) & (own < ends[text_of_stop] - 1)]
+        at = np.unique(np.concatenate([own, ends]))
+        penalties = np.full(len(at), float(SENTENCE))
+        gaps = np.diff(at, prepend=0)
         if gaps.max() > longest:
-            more = np.concatenate([np.arange(e - g + longest, e, longest) for e, g in zip(own[gaps > longest], gaps[gaps > longest])])
-            at = np.concatenate([own, more])
+            more = np.concatenate([np.arange(e - g + longest, e, longest) for e, g in zip(at[gaps > longest], gaps[gaps > longest])])
+            at = np.concatenate([at, more])
             order = np.argsort(at, kind="stable")
-            own, penalties = at[order], np.append(penalties, np.full(len(more), float(FORCED)))[order]
-        penalties[-1] = 0.0
-        return marked[~stop].tobytes() + end_id.to_bytes(4, "little"), own, penalties
+            at, penalties = at[order], np.append(penalties, np.full(len(more), float(FORCED)))[order]
+        to = np.searchsorted(at, ends)
+        penalties[to] = 0.0
+        data, a = ids.tobytes(), 0
+        for start, end, b in zip(starts.tolist(), ends.tolist(), (to + 1).tolist()):
+            yield data[4 * start : 4 * end], at[a:b] - start, penalties[a:b]
+            a = b
 
 
 def _as_bytes(ids: list[int]) -> bytes:
@@ -170,20 +204,37 @@ def lowered_words(text: str) -> list[bytes]:
         return data.split()
     data = data.lower()
     if text.isascii() or not UNUSUAL.search(text):
-        if not SIDE_BY_SIDE.search(data):
+        marks = data.translate(MARKS)
+        if b"!!" not in marks and b"'" not in marks:
             data = data.replace(b".", b" . ").replace(b",", b" , ")
     return data.split()
 
 
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in their order, some at a time: up to GROUP_CHARS characters, or one longer text."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text) > GROUP_CHARS:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
+
+
 def _packer(path: str, end_id: int, length: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens(path)
         packing = _Run(length, with_ids, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for i, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                packing.add(i, *tokens.of(text, end_id, min(LONGEST, length)))
-                if packing.size >= RUN_TOKENS:
-                    yield from packing.flush(last=False)
+            ids, at = batch["doc_id"].to_pylist(), 0
+            for texts in _groups(batch["text"].to_pylist()):
+                for i, found in zip(ids[at : at + len(texts)], tokens.each(texts, end_id, min(LONGEST, length))):
+                    packing.add(i, *found)
+                    if packing.size >= RUN_TOKENS:
+                        yield from packing.flush(last=False)
+                at += len(texts)
         yield from packing.flush(last=True)
 
     return run

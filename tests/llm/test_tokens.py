@@ -1,5 +1,6 @@
 """Packing and token counts against the tokenizers library."""
 
+import sys
 import zlib
 from collections import defaultdict
 
@@ -116,3 +117,42 @@ def test_a_pretoken_that_all_documents_hold(spark, monkeypatch):
     rows = [(k, f"the the quick {k} " * (k % 7) + "the end", *[None] * 7) for k in range(300)]
     got = sorted((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(frame(spark, rows), BYTE).collect())
     assert got == [(r[0], len(library.encode(r[1], add_special_tokens=False).ids)) for r in rows]
+
+
+def test_texts_together_are_as_texts_alone(words):
+    """Boundaries of a group of texts are computed at once; each text gets those that it has alone, and the library's ids."""
+    own, library = words
+    texts = ["", *ODD, "", ". .", "one. two. ", "no end " * 700, "ÉCOLE Ñandú. Ⱥb ĸ İx", "", "a. " * 900, "<|endoftext|>. É", "."]
+    for longest in (1, 3, 512):
+        together = list(own.each(texts, 2, longest))
+        assert len(together) == len(texts)
+        for text, (ids, at, penalties) in zip(texts, together):
+            alone = own.of(text, 2, longest)
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids + [2] and ids == alone[0]
+            assert at.tolist() == alone[1].tolist() and penalties.tolist() == alone[2].tolist()
+            assert at[-1] == len(ids) // 4 and penalties[-1] == 0 and (np.diff(at, prepend=0) > 0).all() and np.diff(at, prepend=0).max() <= longest
+
+
+def test_pieces_across_groups_of_texts(spark, monkeypatch):
+    from tests.llm.test_pipeline import check_pieces
+
+    monkeypatch.setattr(packing, "GROUP_CHARS", 60)
+    monkeypatch.setattr(packing, "RUN_TOKENS", 300)
+    texts = {k: " ".join(f"word{(j + k) % 30}" + "." * (j % 6 == 5) for j in range(k * 7 % 23)) for k in range(120)} | {500: "long text " * 400}
+    check_pieces(texts, packing.pack(frame(spark, [(k, t, *[None] * 7) for k, t in texts.items()]), WORD, length=128).collect())
+
+
+def test_a_new_word_takes_few_calls():
+    """Much of the packing's time goes to words not seen before and to short texts: calls are counted, as seconds vary."""
+    texts = [" ".join("".join("abcdefghij"[int(c)] for c in str(10_000 + 20 * k + j)) + "é" * (j % 3 == 0) for j in range(20)) + "." for k in range(300)]
+    own, calls = packing._Tokens(WORD), [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found = list(own.each(texts, 2))
+    finally:
+        sys.setprofile(None)
+    assert len(found) == 300 and calls[0] < 18 * 6000
